@@ -5,12 +5,52 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from kelpwright.llm.bpe import encode_corpus
+from kelpwright.llm.cooccurrence import cooccurring_pairs
 from kelpwright.llm.spans import shared_spans
+from kelpwright.llm.topn import top_n_per_group
 from kelpwright.plans.registry import Registry, table
 
 registry = Registry()
 
 
+@registry.query(
+    "p1_found",
+    """
+    WITH firsts AS (
+      SELECT * FROM recommendations WHERE user_id IS NOT NULL AND isfinite(ranking_score)
+      QUALIFY row_number() OVER (PARTITION BY user_id, movie_id ORDER BY ranking_score DESC, secondary_score DESC NULLS LAST, similarity_weight_sum DESC NULLS LAST) = 1)
+    SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ranking_score DESC, secondary_score DESC NULLS LAST,
+             similarity_weight_sum DESC NULLS LAST, movie_id) AS INTEGER) AS pos, movie_id
+    FROM firsts QUALIFY pos <= 10
+    """,
+)
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    recommendations = table(spark, sf_dir, "recommendations")
+    return top_n_per_group(recommendations, "user_id", "ranking_score", "movie_id", ("secondary_score", "similarity_weight_sum"))
+
+
+@registry.query(
+    "p7_found",
+    """
+    WITH r AS (SELECT DISTINCT request_id, i AS item FROM (SELECT request_id, unnest(history_item_ids) AS i FROM validation) WHERE i IS NOT NULL),
+    n AS (SELECT count(DISTINCT request_id) AS n FROM r),
+    c AS (SELECT item, count(*) AS n FROM r GROUP BY item),
+    ab AS (SELECT x.item AS item_a, y.item AS item_b, count(*) AS n_ab FROM r x JOIN r y ON x.request_id = y.request_id AND x.item < y.item
+           GROUP BY ALL HAVING count(*) >= 20)
+    SELECT item_a, item_b FROM ab JOIN c a ON a.item = item_a JOIN c b ON b.item = item_b, n
+    WHERE n_ab * n.n >= 8 * a.n * b.n
+    """,
+)
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = cooccurring_pairs(table(spark, sf_dir, "validation"), "request_id", "history_item_ids", min_count=20)
+    return pairs.where("n_ab * n >= 8 * n_a * n_b").select("item_a", "item_b")
+
+
+@registry.query("p7_surprise")
+def p7_surprise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cooccurring_pairs(table(spark, sf_dir, "validation"), "request_id", "history_item_ids", min_count=5)
+
+
 @registry.query("p8_ids")
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(table(spark, sf_dir, "documents"))
