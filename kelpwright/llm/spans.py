@@ -6,9 +6,9 @@ stand.  With a gear window of GEAR and a cut window of CUT code points, any
 passage of GEAR - 1 + 2 * CUT or more holds at least one whole chunk together
 with the gear window before it, in every text that has the passage.  Chunks
 are deduplicated by digest; a passage can only be shared where all chunks
-surely cut alike are, and the runs that remain are verified at every position by a
-96-bit hash of the whole minimum span.  Everything is counted by distinct
-record per hash, never by pairs of records.
+surely cut alike are, and the runs that remain are verified at every position by hashes
+of the whole minimum span.  Everything is counted by distinct record per hash,
+never by pairs of records.
 """
 
 from __future__ import annotations
@@ -127,8 +127,13 @@ def _fingerprints(min_span: int):
     return run
 
 
-def _candidate_spans(min_span: int):
-    """Positions whose min_span code points hold shared chunks only."""
+def _contexts(min_span: int):
+    """Runs of candidate positions by the first chunk they surely share.
+
+    A row holds the chunk's digest and the code points from its first candidate
+    position to the end of the last one's span: at most a cut window of
+    positions, so its text is bounded whatever the length of the record's.
+    """
     width = cut_window(min_span)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,21 +144,8 @@ def _candidate_spans(min_span: int):
                 if not len(text):
                     continue
                 digest = Rolling(p.cps, 0).span(start, end)
-                lists = part.column("digests")
-                owner = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64))
-                known = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-                # A digest is known for its own text only.
-                order = np.lexsort((known, owner))
-                known, owner = known[order], owner[order]
-                shared = np.zeros(len(text), bool)
-                bounds = np.searchsorted(owner, np.arange(len(lists) + 1))
-                edge = np.searchsorted(text, np.arange(len(lists) + 1))
-                for k in range(len(lists)):
-                    a, b, c, d = bounds[k], bounds[k + 1], edge[k], edge[k + 1]
-                    if a < b and c < d:
-                        slot = np.searchsorted(known[a:b], digest[c:d])
-                        slot[slot == b - a] = 0
-                        shared[c:d] = known[a:b][slot] == digest[c:d]
+                edge = np.searchsorted(text, np.arange(len(p.doc)))
+                shared, crowded = (_listed(digest, edge, part.column(c)) for c in ("digests", "crowded"))
                 # The first and the last window of cuts within [q, q + min_span)
                 # cut every copy of it alike, and so do all between: position q
                 # is a candidate if the chunks from the one to the other are shared.
@@ -164,27 +156,126 @@ def _candidate_spans(min_span: int):
                 lo = np.searchsorted(start, cuts[q + GEAR - 1] - (GEAR - 1))
                 hi = np.searchsorted(end, cuts[q + min_span - width] + 1, side="right")
                 upto = np.concatenate([[0], np.cumsum(shared)])
-                inside = hi - lo
-                good = (inside > 0) & (upto[hi] - upto[np.minimum(lo, hi)] == inside)
-                q, own = q[good], own[good]
+                good = (hi > lo) & (upto[hi] - upto[np.minimum(lo, hi)] == hi - lo)
+                q, own, lo = q[good], own[good], lo[good]
                 if not len(q):
                     continue
-                h1 = Rolling(p.cps, 0).span(q, q + min_span)
-                h2 = (Rolling(p.cps, 1).span(q, q + min_span) >> np.uint64(32)).astype(np.uint32)
+                fresh = np.ones(len(q), bool)
+                fresh[1:] = (lo[1:] != lo[:-1]) | (q[1:] != q[:-1] + 1)
+                head = np.flatnonzero(fresh)
+                tail = np.append(head[1:], len(q)) - 1
+                a, z, lo, own = q[head], q[tail], lo[head], own[head]
+                bytes_a, bytes_z = p.byte_of[a], p.byte_of[z + min_span]
+                size = bytes_z - bytes_a
+                upto = np.concatenate([[0], np.cumsum(size)])
+                body = p.data[np.repeat(bytes_a - upto[:-1], size) + np.arange(upto[-1])]
+                context = pa.StringArray.from_buffers(len(a), pa.py_buffer(upto.astype(np.int32)), pa.py_buffer(body))
+                int32 = lambda x: pa.array(x.astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
-                    [_signed(h1), pa.array(h2.view(np.int32)), part.column("doc_id").take(pa.array(own)), pa.array((q - p.doc[:-1][own]).astype(np.int32))],
-                    names=["h1", "h2", "doc_id", "at"],
+                    [_signed(digest[lo]), pa.array(crowded[lo]), part.column("doc_id").take(pa.array(own)), int32(a - p.doc[:-1][own]), int32(start[lo] - a), context],
+                    names=["digest", "crowded", "doc_id", "at", "lead", "context"],
                 )
 
     return run
 
 
+def _listed(digest: np.ndarray, edge: np.ndarray, lists: pa.Array) -> np.ndarray:
+    """Whether each chunk's digest is in its own text's list."""
+    owner = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64))
+    known = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+    order = np.lexsort((known, owner))
+    known, owner = known[order], owner[order]
+    bounds = np.searchsorted(owner, np.arange(len(lists) + 1))
+    found = np.zeros(len(digest), bool)
+    for k in range(len(lists)):
+        own, (c, d) = known[bounds[k] : bounds[k + 1]], edge[k : k + 2]
+        if len(own) and c < d:
+            slot = np.searchsorted(own, digest[c:d])
+            slot[slot == len(own)] = 0
+            found[c:d] = own[slot] == digest[c:d]
+    return found
+
+
+class _Grams:
+    """All positions of a batch of contexts: row, place in it, hashes."""
+
+    def __init__(self, batch: pa.RecordBatch, min_span: int, second: bool = False) -> None:
+        p = points(batch.column("context"))
+        count = np.diff(p.doc) - min_span + 1
+        self.row = np.repeat(np.arange(batch.num_rows), count)
+        self.step = np.arange(len(self.row)) - np.repeat(np.cumsum(count) - count, count)
+        q = p.doc[self.row] + self.step
+        self.h1 = Rolling(p.cps, 0).span(q, q + min_span)
+        if second:
+            self.h2 = (Rolling(p.cps, 1).span(q, q + min_span) >> np.uint64(32)).astype(np.uint32)
+
+
+def _intervals(doc: pa.Array, row: np.ndarray, at: np.ndarray, min_span: int) -> pa.RecordBatch:
+    """(doc_id, from, to) of runs of consecutive positions within a row."""
+    fresh = np.ones(len(row), bool)
+    fresh[1:] = (row[1:] != row[:-1]) | (at[1:] != at[:-1] + 1)
+    head = np.flatnonzero(fresh)
+    tail = np.append(head[1:], len(row)) - 1
+    cols = [doc.take(pa.array(row[head])), pa.array(at[head].astype(np.int32)), pa.array((at[tail] + min_span).astype(np.int32))]
+    return pa.RecordBatch.from_arrays(cols, names=["doc_id", "begin", "end"])
+
+
+def _verify(min_span: int):
+    """Verifies contexts that arrive sorted by digest, digest by digest."""
+
+    def check(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        for batch in table.combine_chunks().to_batches():
+            digest, docs, lead, at = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("digest", "doc_id", "lead", "at"))
+            g = _Grams(batch, min_span)
+            if not len(g.row):
+                continue
+            # Copies of a span stand alike to the chunk: compare by place and hash.
+            key = g.h1 ^ _mix((lead[g.row] - g.step).astype(np.int64).view(np.uint64), 3)
+            group = np.cumsum(np.append(True, digest[1:] != digest[:-1]))[g.row]
+            order = np.lexsort((key, group))
+            k, gr, d = key[order], group[order], docs[g.row[order]]
+            first = np.flatnonzero(np.append(True, (k[1:] != k[:-1]) | (gr[1:] != gr[:-1])))
+            several = np.minimum.reduceat(d, first) < np.maximum.reduceat(d, first)
+            hit = np.zeros(len(order), bool)
+            hit[order] = np.repeat(several, np.diff(np.append(first, len(order))))
+            if hit.any():
+                yield _intervals(batch.column("doc_id"), g.row[hit], (at[g.row] + g.step)[hit], min_span)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in batches:
+            held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            digest = held["digest"].to_numpy()
+            done = int(np.searchsorted(digest, digest[-1])) if len(digest) else 0  # the last digest may go on
+            if done >= 4096:
+                yield from check(held.slice(0, done))
+                held = held.slice(done)
+        if held is not None and held.num_rows:
+            yield from check(held)
+
+    return run
+
+
+def _grams(min_span: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                g = _Grams(part, min_span, second=True)
+                place = part.column("at").to_numpy(zero_copy_only=False)[g.row] + g.step
+                cols = [_signed(g.h1), pa.array(g.h2.view(np.int32)), part.column("doc_id").take(pa.array(g.row)), pa.array(place.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(cols, names=["h1", "h2", "doc_id", "begin"])
+
+    return run
+
+
 def _in_several_docs(df: DataFrame, *keys: str) -> DataFrame:
-    """Keys held by two or more distinct doc_ids; combines before the shuffle."""
-    return df.groupBy(*keys).agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select(*keys)
+    """Keys held by two or more distinct doc_ids and how often they are held."""
+    counts = df.groupBy(*keys).agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count(F.lit(1)).alias("n_held"))
+    return counts.where("a < b").select(*keys, "n_held")
 
 
-def shared_spans(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_span: int = 150) -> DataFrame:
+def shared_spans(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_span: int = 150, crowd: int = 20_000) -> DataFrame:
     """Per record with any, the characters it shares: doc_id, shared_chars.
 
     A code point is shared if it lies in a run of at least ``min_span`` code
@@ -193,6 +284,10 @@ def shared_spans(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_
     where an id stands for several texts, shared positions of any of them
     count.  Texts may be of any length.  Other columns are ignored.  An empty
     table gives no rows.
+
+    Contexts of a chunk meet in one task and are verified there.  Chunks in
+    more than ``crowd`` records are not gathered: their spans are counted by
+    hash with partial aggregation and joined back, which no single key holds up.
     """
     spark = df.sparkSession
     docs = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where(
@@ -200,22 +295,32 @@ def shared_spans(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_
     )
     space = Workspace(spark, "spans")
     prints = space.write(docs.mapInArrow(_fingerprints(min_span), "digest bigint, doc_id bigint"), "prints")
-    hits = space.write(
-        prints.join(_in_several_docs(prints, "digest"), "digest", "left_semi")
-        .groupBy("doc_id").agg(F.collect_set("digest").alias("digests")), "hits")
+    many = F.when(F.col("n_held") > crowd, F.col("digest"))
+    hits = (
+        prints.join(_in_several_docs(prints, "digest"), "digest")
+        .groupBy("doc_id").agg(F.collect_set("digest").alias("digests"), F.collect_set(many).alias("crowded"))
+    )
+    hits = space.write(hits, "hits")
     space.drop("prints")
     # The small side is hashed, so that whole texts need not be sorted.
     suspects = docs.join(hits.hint("shuffle_hash"), "doc_id")
-    spans = space.write(suspects.mapInArrow(_candidate_spans(min_span), "h1 bigint, h2 int, doc_id bigint, at int"), "spans")
+    schema = "digest bigint, crowded boolean, doc_id bigint, at int, lead int, context string"
+    contexts = space.write(suspects.mapInArrow(_contexts(min_span), schema), "contexts")
     space.drop("hits")
-    both = ["h1", "h2"]
-    found = spans.join(_in_several_docs(spans, *both), both, "left_semi")
-    sites = found.groupBy("doc_id").agg(F.array_sort(F.collect_set("at")).alias("at"))
-    # Each site covers min_span code points, less what the site before covers.
+
+    gathered = contexts.where("NOT crowded").repartition("digest").sortWithinPartitions("digest")
+    near = gathered.mapInArrow(_verify(min_span), "doc_id bigint, begin int, end int")
+    grams = contexts.where("crowded").mapInArrow(_grams(min_span), "h1 bigint, h2 int, doc_id bigint, begin int")
+    far = grams.join(_in_several_docs(grams, "h1", "h2"), ["h1", "h2"], "left_semi").select("doc_id", "begin", (F.col("begin") + min_span).alias("end"))
+
+    runs = near.unionByName(far).groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("begin", "end"))).alias("runs"))
+    # Each run covers its code points, less those that the runs before it cover.
     covered = F.aggregate(
-        "at",
-        F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(-1).cast("int").alias("end")),
-        lambda s, at: F.struct((s["n"] + at + min_span - F.greatest(s["end"], at)).alias("n"), (at + F.lit(min_span)).cast("int").alias("end")),
+        "runs",
+        F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0).alias("upto")),
+        lambda s, r: F.struct(
+            (s["n"] + F.greatest(F.lit(0), r["end"] - F.greatest(s["upto"], r["begin"]))).alias("n"), F.greatest(s["upto"], r["end"]).alias("upto")
+        ),
         lambda s: s["n"],
     )
-    return sites.select("doc_id", covered.alias("shared_chars"))
+    return runs.select("doc_id", covered.alias("shared_chars"))
