@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from kelpwright.llm.bpe import encode_corpus
+from kelpwright.llm.consensus import best_representatives, words
 from kelpwright.llm.cooccurrence import cooccurring_pairs
+from kelpwright.llm.similar import most_similar
 from kelpwright.llm.spans import shared_spans
 from kelpwright.llm.topn import top_n_per_group
+from kelpwright.operators.text_ids import present_id
 from kelpwright.plans.registry import Registry, table
 
 registry = Registry()
@@ -29,6 +33,35 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_n_per_group(recommendations, "user_id", "ranking_score", "movie_id", ("secondary_score", "similarity_weight_sum"))
 
 
+@registry.query("p2_found")
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = []
+    for kind in ("item", "user"):
+        near = most_similar(table(spark, sf_dir, f"{kind}_factors"), f"{kind}_idx", "factors", min_cosine=0.9)
+        found.append(near.select(F.lit(kind).alias("kind"), F.col("idx").cast("int").alias("idx"), F.col("neighbor_idx").cast("int").alias("neighbor_idx")))
+    return found[0].unionByName(found[1])
+
+
+@registry.query(
+    "p4_found",
+    """
+    WITH r AS (
+      SELECT row_id, trim(user_id, chr(32)||chr(9)||chr(10)||chr(13)||chr(160)) AS user_id, trim(item_id, chr(32)||chr(9)||chr(10)||chr(13)||chr(160)) AS item_id,
+             rating, row_number() OVER (PARTITION BY trim(user_id, chr(32)||chr(9)||chr(10)||chr(13)||chr(160)), trim(item_id, chr(32)||chr(9)||chr(10)||chr(13)||chr(160))
+                                        ORDER BY information_score DESC NULLS LAST, event_time DESC, row_id) AS k
+      FROM interactions WHERE event_time IS NOT NULL AND rating BETWEEN 0 AND 5)
+    SELECT user_id, item_id, min(row_id) FILTER (k = 1) AS row_id, coalesce(arg_min(row_id, k) FILTER (rating > 0), min(row_id) FILTER (k = 1)) AS rating_row_id
+    FROM r WHERE user_id <> '' AND item_id <> '' GROUP BY user_id, item_id HAVING count(*) > 1
+    """,
+)
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "interactions").where("event_time IS NOT NULL AND rating BETWEEN 0 AND 5")
+    rows = rows.withColumns({"user_id": present_id("user_id"), "item_id": present_id("item_id")})
+    trust = [F.col("information_score"), F.col("event_time"), -F.col("row_id")]
+    rating = {"rating_row_id": (words("rating"), F.col("rating") > 0)}
+    return best_representatives(rows, ["user_id", "item_id"], "row_id", trust, words("rating", "is_read", "is_reviewed"), rating)
+
+
 @registry.query(
     "p7_found",
     """
