@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kelpwright.llm.bpe import encode_corpus
+from kelpwright.llm.bpe import count_tokens, encode_corpus
 from kelpwright.llm.consensus import best_representatives, words
 from kelpwright.llm.cooccurrence import cooccurring_pairs
+from kelpwright.llm.mixing import mix_sources, reached_shares
 from kelpwright.llm.similar import most_similar
 from kelpwright.llm.spans import shared_spans
 from kelpwright.llm.topn import top_n_per_group
 from kelpwright.operators.text_ids import present_id
 from kelpwright.plans.registry import Registry, table
+from kelpwright.storage import Workspace
 
 registry = Registry()
 
@@ -89,6 +91,26 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(table(spark, sf_dir, "documents"))
 
 
+def _mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language: the code before a suffix, lower case; topic: the item's category."""
+    docs = table(spark, sf_dir, "documents").withColumn("lang", F.lower(F.substring_index("lang", "-", 1)))
+    sized = count_tokens(docs, keep=("doc_id", "source", "lang", "item_id"))
+    versions = table(spark, sf_dir, "candidates").where("item_id IS NOT NULL AND category >= 0")
+    topics = versions.groupBy("item_id").agg(F.max(F.struct("version_no", "category")).alias("v")).select("item_id", F.col("v.category").alias("topic"))
+    sized = Workspace(spark, "mix").write(sized.join(topics, "item_id", "left").drop("item_id"), "sized")
+    return mix_sources(sized, table(spark, sf_dir, "source_targets"))
+
+
+@registry.query("p9_mix")
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mix(spark, sf_dir)
+
+
+@registry.query("p9_shares")
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reached_shares(_mix(spark, sf_dir), table(spark, sf_dir, "source_targets"))
+
+
 @registry.query("p10_found")
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_spans(table(spark, sf_dir, "documents"))
