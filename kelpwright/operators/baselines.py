@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kelpwright.operators.ranking import global_index
 from kelpwright.storage import Workspace
 
 
@@ -33,10 +34,12 @@ def popular_unseen(scores: DataFrame, seen: DataFrame, n: int, user: str = "user
     """
     pairs = seen.select(user, item).distinct()
     most = pairs.groupBy(user).count().agg(F.max("count").alias("m")).first()["m"] or 0
-    top = [r[item] for r in scores.orderBy(F.desc(score), item).limit(n + most).collect()]
-    place = seen.sparkSession.createDataFrame(list(enumerate(top)), f"place int, {item} {dict(scores.dtypes)[item]}")
+    order = [F.desc(score), F.asc(item)]
+    best = scores.select(item, score).orderBy(*order).limit(n + most)
+    place = Workspace(seen.sparkSession, "popular").write(global_index(best, order, "place").select(F.col("place").cast("int").alias("place"), item), "place")
+    size = place.count()
     own = pairs.select(user).distinct().join(pairs.join(place, item).groupBy(user).agg(F.collect_list("place").alias("own")), user, "left")
-    left = F.slice(F.array_except(F.sequence(F.lit(0), F.lit(len(top) - 1)), F.coalesce("own", F.array().cast("array<int>"))), 1, n)
+    left = F.slice(F.array_except(F.sequence(F.lit(0), F.lit(max(size - 1, 0))), F.coalesce("own", F.array().cast("array<int>"))), 1, n)
     lists = own.select(user, F.posexplode(left).alias("at", "place")).join(place, "place")
     return lists.select(user, item, (F.col("at") + 1).alias("rank"))
 
