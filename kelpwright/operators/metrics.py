@@ -133,7 +133,7 @@ def bootstrap_interval(per_user: DataFrame, user: str, metric: str, samples: int
         yield pd.DataFrame({"k": np.arange(samples), "s": total[:, 0], "w": total[:, 1]})
 
     rows = per_user.select(F.xxhash64(user).alias("h"), F.col(metric).cast("double").alias("v")).where("v IS NOT NULL")
-    means = rows.mapInPandas(sums, "k int, s double, w double").groupBy("k").agg((F.sum("s") / F.sum("w")).alias("m"))
+    means = rows.mapInPandas(sums, "k int, s double, w double").groupBy("k").agg(F.try_divide(F.sum("s"), F.sum("w")).alias("m"))
     interval = means.agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
     return rows.agg(F.count(F.lit(1)).alias("users"), F.avg("v").alias("mean")).crossJoin(F.broadcast(interval)).select("users", "mean", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
 

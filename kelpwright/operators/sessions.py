@@ -54,7 +54,7 @@ def sessionize(
 
     Work per task is bounded by a block of one user, equal times of which are
     aggregated before the window: at most ``block_ms`` instants whatever the
-    number of rows.
+    number of rows.  Gaps too wide for a long end a session.
     """
     first = first_occurrence(df, event, user, time, tab)
     moments = (
@@ -63,7 +63,7 @@ def sessionize(
         .agg(F.count(F.lit(1)).alias("n"), F.collect_set("tab").alias("tabs"))
     )
     within = Window.partitionBy("user_id", "block").orderBy("t")
-    opens = F.coalesce((F.col("t") - F.lag("t").over(within) > gap_ms).cast("int"), F.lit(1))
+    opens = F.coalesce((F.try_subtract("t", F.lag("t").over(within)) > gap_ms).cast("int"), F.lit(1))
     partial = (
         moments.withColumn("opens", opens)
         .withColumn("s", F.sum("opens").over(within))
@@ -74,7 +74,7 @@ def sessionize(
         )
     )
     across = Window.partitionBy("user_id").orderBy("start_ms")
-    opens = F.coalesce((F.col("start_ms") - F.lag("end_ms").over(across) > gap_ms).cast("int"), F.lit(1))
+    opens = F.coalesce((F.try_subtract("start_ms", F.lag("end_ms").over(across)) > gap_ms).cast("int"), F.lit(1))
     return (
         partial.withColumn("opens", opens)
         .withColumn("s", F.sum("opens").over(across))

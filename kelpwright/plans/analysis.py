@@ -9,6 +9,7 @@ from kelpwright.operators import baselines, checks, history, metrics, profile, s
 from kelpwright.operators.ranking import equal_count_bucket, global_index
 from kelpwright.plans.registry import Registry, table
 from kelpwright.plans.views import ACTS, EVENTS, RATINGS, acts, events, ratings, with_
+from kelpwright.storage import Workspace
 
 registry = Registry()
 query = registry.query
@@ -29,7 +30,8 @@ _PIPE = (RATINGS, _T01, _BAYES, _LISTS, _TRUTH, _PER_USER)
 
 
 def _parts(spark, d):
-    parts = split.per_user_split(ratings(spark, d), ["ts", "item_id"])
+    """Train and test rows; written once, as every query reads them several times."""
+    parts = Workspace(spark, "parts").write(split.per_user_split(ratings(spark, d), ["ts", "item_id"]), "parts")
     return parts.where("split = 'train'"), parts.where("split = 'test'")
 
 
