@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -20,9 +20,9 @@ def heavy_keys(df: DataFrame, key: str, share: float = 0.001, rate: float | None
     if rate < 1.0:
         sample = sample.sample(fraction=rate, seed=7)
     counts = sample.groupBy(key).count()
-    total = counts.agg(F.sum("count").alias("total"))
-    # One-row side: a scalar, not a growing product.
-    return counts.crossJoin(F.broadcast(total)).where(F.col("count") >= F.col("total") * share).select(key)
+    # No more rows than the sample, whose size is bounded, meet in this window.
+    total = F.sum("count").over(Window.partitionBy())
+    return counts.withColumn("total", total).where(F.col("count") >= F.col("total") * share).select(key)
 
 
 def counts_per_key(df: DataFrame, key: str, record: str | None, user: str, share: float = 0.001, sample_rows: int = 200_000) -> DataFrame:

@@ -22,6 +22,8 @@ _live: set[str] = set()
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder, or a temporary one if it names none."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if base is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if base is None:
         base = "file://" + tempfile.mkdtemp(prefix="kelpwright-")
         spark.conf.set("spark.checkpoint.dir", base)
