@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Bins of each of the two histograms that place a source's threshold.
@@ -164,9 +164,9 @@ def reached_shares(mix: DataFrame, targets: DataFrame) -> DataFrame:
     per = mix.groupBy("source").agg(
         F.sum(F.col("n_tokens") * F.col("copies")).alias("tokens"), F.count(F.lit(1)).alias("documents"), F.max("copies").alias("most_copies")
     )
-    total = per.agg(F.sum("tokens").alias("total"))  # one row, of as many as there are sources
-    filled = targets.join(per, "source", "left").crossJoin(F.broadcast(total))
+    filled = targets.join(per, "source", "left")
+    total = F.sum("tokens").over(Window.partitionBy())  # over the rows of targets, one a source
     zero = {c: F.coalesce(c, F.lit(0)) for c in ("tokens", "documents", "most_copies")}
     return filled.withColumns(zero).select(
-        "source", "target_share", F.coalesce(F.col("tokens") / F.col("total"), F.lit(0.0)).alias("reached_share"), "max_repeats", "tokens", "documents", "most_copies"
+        "source", "target_share", F.coalesce(F.try_divide("tokens", total), F.lit(0.0)).alias("reached_share"), "max_repeats", "tokens", "documents", "most_copies"
     )
