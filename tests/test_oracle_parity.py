@@ -7,7 +7,7 @@ import pytest
 from tests.parity import DATA, compare
 
 SMALL = DATA / "sf0.001"
-MODULES = [importlib.import_module(f"kelpwright.plans.{m}").registry for m in ("problems", "foundation", "analysis", "models")]
+MODULES = [importlib.import_module(f"kelpwright.plans.{m}").registry for m in ("problems", "foundation", "analysis", "models", "protocol")]
 CASES = [(name, q, r.oracles.get(name)) for r in MODULES for name, q in r.queries.items()]
 
 
