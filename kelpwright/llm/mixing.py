@@ -87,7 +87,8 @@ def mix_sources(
     target_share, max_repeats.  A stratum's marginal is its share of the tokens
     of all listed sources unless ``margins`` gives one.  Source totals come
     within about a document of their targets; marginals are met as far as the
-    caps and the source targets allow.  ``copies`` never exceeds max_repeats.
+    caps and the source targets allow.  ``copies`` never exceeds max_repeats; a
+    column of that name in ``sized`` is replaced, other columns are kept.
 
     Documents with a null id or source, of an unlisted source, or without
     tokens are not in the mix; null strata are a stratum of their own; a listed
@@ -105,12 +106,13 @@ def mix_sources(
     names = [r["source"] for r in wanted]
     share, cap = (np.array([max(0.0, float(r["t"][i])) for r in wanted]) for i in (0, 1))
     own = sized.where(F.col("doc_id").isNotNull() & (F.col("n_tokens") > 0) & F.col("source").isin(names))
-    own = own.withColumns({f"__{c}": F.coalesce(F.col(c).cast("string"), F.lit("")) for c in strata})
-    key = ["source", *(f"__{c}" for c in strata)]
+    own = own.withColumns({f"__mix_{c}": F.coalesce(F.col(c).cast("string"), F.lit("")) for c in strata})
+    key = ["source", *(f"__mix_{c}" for c in strata)]
     cells = own.groupBy(*key).agg(F.sum("n_tokens").alias("tokens")).orderBy(*key).limit(MAX_CELLS + 1).collect()
     if len(cells) > MAX_CELLS:
         raise ValueError(f"more than {MAX_CELLS} cells of {key}: coarsen the strata")
-    nothing = own.select(*sized.columns, F.lit(0).alias("copies")).limit(0)
+    columns = [c for c in sized.columns if c != "copies"]
+    nothing = own.select(*columns, F.lit(0).alias("copies")).limit(0)
     if not cells:
         return nothing
 
@@ -121,7 +123,7 @@ def mix_sources(
         return nothing
     classes = []
     for c in strata:
-        values, of = np.unique([r[f"__{c}"] for r in cells], return_inverse=True)
+        values, of = np.unique([r[f"__mix_{c}"] for r in cells], return_inverse=True)
         given = (margins or {}).get(c)
         part = np.array([given.get(v, 0.0) for v in values]) if given else np.bincount(of, tokens)
         classes.append((of, part / max(part.sum(), 1e-300)))
@@ -130,23 +132,23 @@ def mix_sources(
     spark = sized.sparkSession
     sure = np.floor(weight + 1e-9)
     rows = [(*(r[k] for k in key), int(b), float(max(0.0, w - b))) for r, b, w in zip(cells, sure, weight, strict=True)]
-    plan = spark.createDataFrame(rows, ", ".join(f"`{k}` string" for k in key) + ", sure int, part double")
+    plan = spark.createDataFrame(rows, ", ".join(f"`{k}` string" for k in key) + ", __sure int, __part double")
     # At most MAX_CELLS rows, but few as a rule: let their size choose the join.
     drawn = own.join(plan, key)
     uniform = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 11) / F.lit(float(2**53))
-    odds = uniform / F.col("part")
-    drawn = drawn.withColumn("u", F.when(F.col("part") > 0, odds / (1 + odds)).otherwise(F.lit(1.0)))
+    odds = uniform / F.col("__part")
+    drawn = drawn.withColumn("__u", F.when(F.col("__part") > 0, odds / (1 + odds)).otherwise(F.lit(1.0)))
 
     extra = goal - np.bincount(source, sure * tokens, len(names))
     low, width = np.zeros(len(names)), np.ones(len(names))
     for _ in range(2):  # find the bin where each source meets its target, then the bin within it
-        bounds = spark.createDataFrame([(s, float(a), float(w)) for s, a, w in zip(names, low, width, strict=True)], "source string, low double, width double")
-        bin_ = F.floor((F.col("u") - F.col("low")) / F.col("width") * _BINS).cast("int")
-        binned = drawn.where("part > 0").join(F.broadcast(bounds), "source").withColumn("bin", bin_).where(F.col("bin") < _BINS)
-        binned = binned.withColumn("bin", F.greatest("bin", F.lit(-1))).groupBy("source", "bin").agg(F.sum("n_tokens").alias("t")).collect()
+        bounds = spark.createDataFrame([(s, float(a), float(w)) for s, a, w in zip(names, low, width, strict=True)], "source string, __low double, __width double")
+        bin_ = F.floor((F.col("__u") - F.col("__low")) / F.col("__width") * _BINS).cast("int")
+        binned = drawn.where("__part > 0").join(F.broadcast(bounds), "source").withColumn("__bin", bin_).where(F.col("__bin") < _BINS)
+        binned = binned.withColumn("__bin", F.greatest("__bin", F.lit(-1))).groupBy("source", "__bin").agg(F.sum("n_tokens").alias("t")).collect()
         sums = np.zeros((len(names), _BINS + 1))
         for r in binned:
-            sums[names.index(r["source"]), r["bin"] + 1] += r["t"]
+            sums[names.index(r["source"]), r["__bin"] + 1] += r["t"]
         upto = np.cumsum(sums, 1)  # tokens below each bin's lower bound, then below the end
         last = np.array([np.argmin(np.abs(row - e)) if e > 0 else 0 for row, e in zip(upto, extra, strict=True)])
         if _ == 0:
@@ -154,9 +156,9 @@ def mix_sources(
             last = np.minimum(last, _BINS - 1)
         low = low + last * width / _BINS
         width = width / _BINS
-    cut = spark.createDataFrame([(s, float(a)) for s, a in zip(names, low, strict=True)], "source string, cut double")
-    copies = (F.col("sure") + ((F.col("u") < F.col("cut")) & (F.col("part") > 0)).cast("int")).alias("copies")
-    return drawn.join(F.broadcast(cut), "source").select(*sized.columns, copies).where("copies > 0")
+    cut = spark.createDataFrame([(s, float(a)) for s, a in zip(names, low, strict=True)], "source string, __cut double")
+    copies = (F.col("__sure") + ((F.col("__u") < F.col("__cut")) & (F.col("__part") > 0)).cast("int")).alias("copies")
+    return drawn.join(F.broadcast(cut), "source").select(*columns, copies).where("copies > 0")
 
 
 def reached_shares(mix: DataFrame, targets: DataFrame) -> DataFrame:

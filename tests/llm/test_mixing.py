@@ -55,3 +55,11 @@ def test_empty(spark):
     assert mix_sources(corpus(spark).limit(0), targets).collect() == []
     assert mix_sources(corpus(spark), targets.limit(0)).collect() == []
     assert mix_sources(corpus(spark), spark.createDataFrame([(None, 0.5, 1), ("big", None, None)], TARGETS)).collect() == []
+
+
+def test_clashing_names_and_repeats(spark):
+    rows = [(k % 50, "big", "en", 1, 10, k, 0.5, "x") for k in range(100)]
+    sized = spark.createDataFrame(rows, DOCS + ", copies int, part double, sure string")
+    mix = mix_sources(sized, spark.createDataFrame([("big", 1.0, 2)], TARGETS))
+    assert mix.columns == ["doc_id", "source", "lang", "topic", "n_tokens", "part", "sure", "copies"]
+    assert mix.count() == 100 and {r.copies for r in mix.collect()} == {2}
