@@ -183,11 +183,11 @@ def x15(spark, d):
     return pooled.select("request_id", F.round(F.col("v")[0], 5).alias("first"), F.round(F.col("v")[49], 5).alias("last"))
 
 
-@query("x21_preference_features", "WITH c AS (SELECT item_id, avg(duration) AS duration FROM candidates WHERE duration IS NOT NULL GROUP BY 1), h AS (SELECT request_id, unnest(h) AS item_id FROM (SELECT request_id, min(history_item_ids) AS h FROM validation WHERE history_item_ids IS NOT NULL GROUP BY 1)) SELECT request_id, round(avg(duration), 7) AS duration FROM h JOIN c USING (item_id) GROUP BY 1")
+@query("x21_preference_features", "WITH c AS (SELECT item_id, max(CAST(round(duration * 1000) AS BIGINT)) AS ms FROM candidates WHERE duration IS NOT NULL GROUP BY 1), h AS (SELECT request_id, unnest(h) AS item_id FROM (SELECT request_id, min(history_item_ids) AS h FROM validation WHERE history_item_ids IS NOT NULL GROUP BY 1)) SELECT request_id, CAST(sum(ms) AS BIGINT) AS total_ms, count(*) AS n_known FROM h JOIN c USING (item_id) GROUP BY 1")
 def x21(spark, d):
     h = table(spark, d, "validation").where("history_item_ids IS NOT NULL").groupBy("request_id").agg(F.min("history_item_ids").alias("h"))
-    c = table(spark, d, "candidates").where("duration IS NOT NULL").groupBy("item_id").agg(F.avg("duration").alias("duration"))
-    return h.select("request_id", F.explode("h").alias("item_id")).join(c, "item_id").groupBy("request_id").agg(F.round(F.avg("duration"), 7).alias("duration"))
+    c = table(spark, d, "candidates").where("duration IS NOT NULL").groupBy("item_id").agg(F.max(F.round(F.col("duration") * 1000).cast("long")).alias("ms"))
+    return h.select("request_id", F.explode("h").alias("item_id")).join(c, "item_id").groupBy("request_id").agg(F.sum("ms").alias("total_ms"), F.count(F.lit(1)).alias("n_known"))
 
 
 @query("d17_tag_vectors", "WITH t AS (SELECT label AS tag, avg(embedding[1]) AS x FROM embeddings GROUP BY 1) SELECT vec_id, round(CASE WHEN label = 0 THEN 0 ELSE (x + coalesce(y, 0)) / (CASE WHEN y IS NULL THEN 1 ELSE 2 END) END, 5) AS x FROM embeddings JOIN t ON t.tag = label LEFT JOIN (SELECT tag, x AS y FROM t) o ON o.tag = label + 1")
