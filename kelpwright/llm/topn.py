@@ -72,7 +72,9 @@ def _reader(n: int, order: Sequence[tuple[str, str]], schema: pa.Schema):
         parts: list[pa.Table] = []
         floor: dict[str, float] = {}  # N-th score by group, once it has N items
         for d in listing.sort_by([("top", "descending"), ("path", "ascending"), ("row_group", "ascending")]).to_pylist():
-            f = files.setdefault(d["path"], None) or files.__setitem__(d["path"], _open(d["path"])) or files[d["path"]]
+            if d["path"] not in files:
+                files[d["path"]] = _open(d["path"])
+            f = files[d["path"]]
             if d["lo"] in floor and d["hi"] in floor and d["top"] < min(floor[d["lo"]], floor[d["hi"]]):
                 held = {d["lo"]}
                 if d["lo"] != d["hi"]:
