@@ -32,7 +32,8 @@ def top_similar(res: DataFrame, entity: str, shared: str, k: int, min_support: i
     """(entity, neighbor, similarity, support): the k most similar entities.
 
     Cosine over whole residual vectors; only pairs that share ``min_support`` of
-    ``shared`` and whose cosine is positive; shrunk by support; ties by id.
+    ``shared`` and whose cosine is positive; shrunk by support, rounded to 12
+    decimals so that noise about 0 is none; ties by id.
     Each pair is formed once, from the smaller id, and mirrored after the sums.
     """
     norms = res.groupBy(entity).agg(F.sqrt(F.sum(F.col("residual") * F.col("residual"))).alias("norm")).where("norm > 0")
@@ -42,7 +43,7 @@ def top_similar(res: DataFrame, entity: str, shared: str, k: int, min_support: i
     a, b = unit.select("s", F.col("e").alias("a"), F.col("r").alias("ra")), unit.select("s", F.col("e").alias("b"), F.col("r").alias("rb"))
     pairs = a.join(b, "s").where("a < b").groupBy("a", "b").agg(F.sum(F.col("ra") * F.col("rb")).alias("cosine"), F.count(F.lit(1)).alias("support"))
     pairs = pairs.where((F.col("cosine") > 0) & (F.col("support") >= min_support))
-    pairs = pairs.withColumn("similarity", F.round(shrunk(F.col("cosine"), F.col("support"), shrinkage), 12))
+    pairs = pairs.withColumn("similarity", F.round(shrunk(F.col("cosine"), F.col("support"), shrinkage), 12)).where("similarity > 0")
     both = pairs.select(F.col("a").alias("entity"), F.col("b").alias("neighbor"), "similarity", "support").unionByName(
         pairs.select(F.col("b").alias("entity"), F.col("a").alias("neighbor"), "similarity", "support")
     )

@@ -306,7 +306,15 @@ def w01(spark, d):
     return placed.join(sizes, placed["item_id"].eqNullSafe(sizes["item_id"])).select("row_id", "place", "size")
 
 
-@query("w08_nearest_to_quantiles")
+_NEAREST = "SELECT CAST({q} AS DOUBLE) AS quantile, user_id, n FROM u WHERE user_id NOT IN ({not_in}) ORDER BY abs(n - (SELECT quantile_cont(n, {q}) FROM u)), user_id LIMIT 1"
+
+
+@query(
+    "w08_nearest_to_quantiles",
+    with_(RATINGS, "u AS (SELECT user_id, count(*) AS n FROM ratings GROUP BY 1)", "a AS (" + _NEAREST.format(q=0.1, not_in="-1") + ")", "b AS (" + _NEAREST.format(q=0.5, not_in="SELECT user_id FROM a") + ")",
+          "c AS (" + _NEAREST.format(q=0.9, not_in="SELECT user_id FROM a UNION ALL SELECT user_id FROM b") + ")")
+    + "SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c",
+)
 def w08(spark, d):
     users = ratings(spark, d).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
     return select.nearest_to_quantiles(users, "user_id", "n", [0.1, 0.5, 0.9])

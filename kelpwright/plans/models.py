@@ -19,7 +19,7 @@ _SIM = """res AS (SELECT user_id, item_id, rating, rating - avg(rating) OVER (PA
     norms AS (SELECT item_id, sqrt(sum(r * r)) AS norm FROM res GROUP BY item_id),
     prod AS (SELECT a.item_id AS entity, b.item_id AS neighbor, sum(a.r * b.r) / (max(na.norm) * max(nb.norm)) AS cosine, count(*) AS support FROM res a JOIN res b ON a.user_id = b.user_id AND a.item_id <> b.item_id
       JOIN norms na ON na.item_id = a.item_id JOIN norms nb ON nb.item_id = b.item_id WHERE na.norm > 0 AND nb.norm > 0 GROUP BY ALL),
-    near AS (SELECT entity, neighbor, round(cosine * support / (support + CAST(10 AS DOUBLE)), 12) AS similarity, support FROM prod WHERE cosine > 1e-12 AND support >= 2
+    near AS (SELECT entity, neighbor, round(cosine * support / (support + CAST(10 AS DOUBLE)), 12) AS similarity, support FROM prod WHERE round(cosine * support / (support + CAST(10 AS DOUBLE)), 12) > 0 AND support >= 2
       QUALIFY row_number() OVER (PARTITION BY entity ORDER BY similarity DESC, neighbor) <= 20)"""
 
 
@@ -48,21 +48,48 @@ def x02(spark, d):
     return model.predict(test.select("user_id", "item_id")).withColumn("rating_estimate", F.round("rating_estimate", 5))
 
 
-@query("x03_cf_recommend")
+@query(
+    "x03_cf_recommend",
+    with_(RATINGS, _T01, _SIM, "bayes AS (SELECT item_id, (sum(rating) + 25 * (SELECT avg(rating) FROM train)) / (count(*) + 25) AS fallback FROM train GROUP BY item_id)",
+          "means AS (SELECT user_id, avg(rating) AS mean FROM train GROUP BY user_id)",
+          """good AS (SELECT user_id, item_id, round(mean + num / den, 9) AS score, den AS evidence, false AS used_fallback FROM
+            (SELECT res.user_id, near.entity AS item_id, sum(similarity * r) AS num, sum(similarity) AS den FROM res JOIN near ON near.neighbor = res.item_id GROUP BY ALL) JOIN means USING (user_id)
+            WHERE NOT EXISTS (SELECT 1 FROM train s WHERE s.user_id = means.user_id AND s.item_id = item_id))""".replace("s.item_id = item_id)", "s.item_id = near_item)").replace("near.entity AS item_id", "near.entity AS near_item").replace("SELECT user_id, item_id, round", "SELECT user_id, near_item AS item_id, round"),
+          """rest AS (SELECT m.user_id, b.item_id, round(b.fallback, 9) AS score, CAST(0 AS DOUBLE) AS evidence, true AS used_fallback FROM means m CROSS JOIN bayes b
+            WHERE NOT EXISTS (SELECT 1 FROM train s WHERE s.user_id = m.user_id AND s.item_id = b.item_id) AND NOT EXISTS (SELECT 1 FROM good g WHERE g.user_id = m.user_id AND g.item_id = b.item_id))""")
+    + """SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY score DESC, fallback DESC, evidence DESC, item_id) AS INTEGER) AS rank, item_id, round(score, 6) AS score, used_fallback
+    FROM (SELECT * FROM good UNION ALL SELECT * FROM rest) JOIN bayes USING (item_id) QUALIFY rank <= 10""",
+)
 def x03(spark, d):
-    model, train, test = _cf(spark, d, variant="bias_aware")
-    return model.recommend(test.select("user_id"), 10, secondary=True)
+    model, train, _ = _cf(spark, d)
+    return model.recommend(train.select("user_id"), 10, secondary=True).select("user_id", "rank", "item_id", F.round("score", 6).alias("score"), "used_fallback")
 
 
-@query("x01_user_cf_neighbors")
+@query(
+    "x01_user_cf_neighbors",
+    with_(RATINGS, _T01, _SIM.replace("item_id", "ITEM").replace("user_id", "item_id").replace("ITEM", "user_id").replace("(PARTITION BY item_id)", "(PARTITION BY user_id)").replace("support >= 2", "support >= 3").replace("SELECT item_id, user_id, rating", "SELECT user_id, item_id, rating"))
+    + "SELECT entity, neighbor, round(similarity, 6) AS similarity, support FROM near",
+)
 def x01(spark, d):
-    return _cf(spark, d, mode="user", min_support=3)[0].neighbors
+    near = _cf(spark, d, mode="user", min_support=3)[0].neighbors
+    return near.select("entity", "neighbor", F.round("similarity", 6).alias("similarity"), "support")
 
 
-@query("k11_evidence")
+@query(
+    "k11_evidence",
+    with_(RATINGS, _T01, _SIM)
+    + """SELECT t.user_id, t.item_id, CAST(row_number() OVER (PARTITION BY t.user_id, t.item_id ORDER BY abs(round(similarity * r, 12)) DESC, neighbor) AS INTEGER) AS rank, neighbor, round(similarity * r, 6) AS contribution
+    FROM test t JOIN near ON near.entity = t.item_id JOIN res ON res.user_id = t.user_id AND res.item_id = near.neighbor QUALIFY rank <= 3""",
+)
 def k11(spark, d):
     model, _, test = _cf(spark, d)
-    return neighborhood.explain(model, test.select("user_id", "item_id"))
+    return neighborhood.explain(model, test.select("user_id", "item_id")).withColumn("contribution", F.round("contribution", 6))
+
+
+@query("x03_bias_aware_recommend")
+def x03_bias(spark, d):
+    model, train, test = _cf(spark, d, variant="bias_aware")
+    return model.recommend(test.select("user_id"), 10, secondary=True)
 
 
 @query(
@@ -280,8 +307,15 @@ def x14(spark, d):
     return towers.export_vectors(_embeddings(spark, d)[1], "idx", "v", layers)
 
 
-@query("x16_in_batch_loss")
+@query(
+    "x16_in_batch_loss",
+    """WITH r AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, label, CAST(floor((row_number() OVER (ORDER BY md5('7|' || vec_id), vec_id) - 1) / 256) AS BIGINT) AS batch FROM embeddings),
+    l AS (SELECT a.batch, a.vec_id, a.vec_id = b.vec_id AS own, list_dot_product(a.v, b.v) / CAST(0.1 AS DOUBLE) AS x FROM r a JOIN r b ON a.batch = b.batch AND (a.vec_id = b.vec_id OR a.label <> b.label)),
+    m AS (SELECT batch, vec_id, max(x) AS top, max(x) FILTER (own) AS own FROM l GROUP BY ALL),
+    s AS (SELECT l.batch, l.vec_id, ln(sum(exp(x - top))) + max(top) - max(m.own) AS loss FROM l JOIN m ON l.vec_id = m.vec_id GROUP BY ALL)
+    SELECT batch, count(*) AS n, round(avg(loss), 5) AS loss FROM s GROUP BY batch""",
+)
 def x16(spark, d):
     rows = _embeddings(spark, d)[1].select("idx", F.col("v").alias("user_v"), F.col("v").alias("item_v"), F.col("label").cast("long").alias("item_id"))
     placed = global_index(rows, [seeded_order("idx", seed=7), F.col("idx")], "at").withColumn("batch", F.floor(F.col("at") / 256))
-    return towers.in_batch_losses(placed, "batch", 0.1)
+    return towers.in_batch_losses(placed, "batch", 0.1).withColumn("loss", F.round("loss", 5))
