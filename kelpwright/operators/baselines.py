@@ -50,17 +50,19 @@ def fit_biases(
     """Global mean, user biases and item biases by alternating passes.
 
     A user pass sees the item biases before it, an item pass the new user
-    biases; both divide by count + regularisation.  The bias tables, one row per
-    user and item, are written each pass.
+    biases; both divide by count + regularisation.  The item biases, one row per
+    item, are written each pass, so lineage is one pass deep.
     """
     space = Workspace(train.sparkSession, "bias")
     rows = space.write(train.select(user, item, F.col("rating").cast("double").alias("rating")), "rows")
     mean = rows.agg(F.avg("rating")).first()[0]
     items = rows.select(item).distinct().withColumn("bi", F.lit(0.0))
-    users = None
+    users = rows.select(user).distinct().withColumn("bu", F.lit(0.0))
     for k in range(passes):
         gap = F.sum(F.col("rating") - mean - F.col("bi")) / (F.count(F.lit(1)) + user_reg)
-        users = space.write(rows.join(items, item).groupBy(user).agg(gap.alias("bu")), f"users{k}")
+        users = rows.join(items, item).groupBy(user).agg(gap.alias("bu"))
+        if k == passes - 1:
+            users = space.write(users, "users")
         gap = F.sum(F.col("rating") - mean - F.col("bu")) / (F.count(F.lit(1)) + item_reg)
         items = space.write(rows.join(users, user).groupBy(item).agg(gap.alias("bi")), f"items{k}")
     return mean, users, items
