@@ -44,11 +44,14 @@ def counts_per_key(df: DataFrame, key: str, record: str | None, user: str, share
     records = F.countDistinct("r") if record else F.count(F.lit(1))
     rest = cold.repartition("k").groupBy("k").agg(records.alias("n_records"), F.countDistinct("u").alias("n_users"))
 
-    hot_users = hot.where("u IS NOT NULL").groupBy("k", "u").agg(F.lit(0).alias("x")).select("k", F.lit(0).alias("a"), F.lit(1).alias("b"))
+    # Null records and users stay as a group that counts nothing, so that every
+    # key comes out.
+    one = lambda c: F.col(c).isNotNull().cast("int")
+    none = F.lit(0)
+    hot_users = hot.groupBy("k", "u").agg(none.alias("x")).select("k", none.alias("a"), one("u").alias("b"))
     if record:
-        hot_records = hot.where("r IS NOT NULL").groupBy("k", "r").agg(F.lit(0).alias("x")).select("k", F.lit(1).alias("a"), F.lit(0).alias("b"))
+        hot_records = hot.groupBy("k", "r").agg(none.alias("x")).select("k", one("r").alias("a"), none.alias("b"))
     else:
-        hot_records = hot.groupBy("k").agg(F.count(F.lit(1)).cast("int").alias("a")).select("k", "a", F.lit(0).alias("b"))
-    seen = hot.groupBy("k").agg(F.lit(0).alias("a"), F.lit(0).alias("b"))
-    top = hot_records.unionByName(hot_users).unionByName(seen).groupBy("k").agg(F.sum("a").alias("n_records"), F.sum("b").alias("n_users"))
+        hot_records = hot.groupBy("k").agg(F.count(F.lit(1)).alias("a")).select("k", "a", none.alias("b"))
+    top = hot_records.unionByName(hot_users).groupBy("k").agg(F.sum("a").alias("n_records"), F.sum("b").alias("n_users"))
     return rest.unionByName(top).withColumnRenamed("k", key)
