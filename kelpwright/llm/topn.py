@@ -68,20 +68,23 @@ def _best(rows: pa.Table, n: int, order: Sequence[tuple[str, str]]) -> pa.Table:
 
 def _reader(n: int, order: Sequence[tuple[str, str]], schema: pa.Schema):
     def read(listing: pa.Table) -> pa.Table:
-        files: dict = {}
+        files: dict = {}  # opened when first read, so a skipped file costs nothing
+
+        def content(d: dict, **kw: list[str]) -> pa.Table:
+            if d["path"] not in files:
+                files[d["path"]] = _open(d["path"])
+            return files[d["path"]].read_row_group(d["row_group"], **kw)
+
         parts: list[pa.Table] = []
         floor: dict[str, float] = {}  # N-th score by group, once it has N items
         for d in listing.sort_by([("top", "descending"), ("path", "ascending"), ("row_group", "ascending")]).to_pylist():
-            if d["path"] not in files:
-                files[d["path"]] = _open(d["path"])
-            f = files[d["path"]]
             if d["lo"] in floor and d["hi"] in floor and d["top"] < min(floor[d["lo"]], floor[d["hi"]]):
                 held = {d["lo"]}
                 if d["lo"] != d["hi"]:
-                    held = set(map(str, f.read_row_group(d["row_group"], columns=["g"])["g"].unique().to_pylist()))
+                    held = set(map(str, content(d, columns=["g"])["g"].unique().to_pylist()))
                 if all(d["top"] < floor.get(g, float("-inf")) for g in held):
                     continue
-            rows = f.read_row_group(d["row_group"]).select(schema.names).cast(schema)
+            rows = content(d).select(schema.names).cast(schema)
             if d["lo"] is not None and d["lo"] == d["hi"] and parts:
                 rows = pa.concat_tables([*parts, rows])
                 parts = []

@@ -57,3 +57,35 @@ def test_empty_and_nothing_usable(spark):
 def test_string_groups_and_items(spark):
     df = spark.createDataFrame([("b", "y", 1.0), ("b", "x", 1.0), ("a", "z", 2.0), ("", "q", 0.0)], "g string, i string, s double")
     assert sorted(map(tuple, top_n_per_group(df, "g", "s", "i", n=1).collect())) == [("", 1, "q"), ("a", 1, "z"), ("b", 1, "x")]
+
+
+def test_skipped_row_groups_are_never_read(tmp_path, monkeypatch):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from kelpwright.llm import topn
+
+    schema = pa.schema([("g", pa.int32()), ("item", pa.int32()), ("score", pa.float64())])
+    paths = []
+    for f in range(4):
+        rows = pa.table({"g": [7] * 1000, "item": range(f * 1000, f * 1000 + 1000), "score": [float(5000 - f * 1000 - k) for k in range(1000)]}, schema)
+        paths.append(f"file://{tmp_path}/{f}.parquet")
+        pq.write_table(rows, tmp_path / f"{f}.parquet", row_group_size=50)
+    listing = pa.Table.from_batches(topn._describe([pa.record_batch({"path": paths[::-1]})]))
+    assert listing.num_rows == 80
+    opened, read = [], []
+
+    class Counting:
+        def __init__(self, path):
+            opened.append(path)
+            self.file = real(path)
+
+        def read_row_group(self, k, **kw):
+            read.append(k)
+            return self.file.read_row_group(k, **kw)
+
+    real = topn._open
+    monkeypatch.setattr(topn, "_open", Counting)
+    best = topn._reader(10, [("score", "descending"), ("item", "ascending")], schema)(listing)
+    assert sorted(best["item"].to_pylist()) == list(range(10))
+    assert opened == [paths[0]] and len(read) == 1
