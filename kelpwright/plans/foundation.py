@@ -34,7 +34,7 @@ def s24(spark, d):
     return placed.withColumn("batch", F.floor(F.col("place") / 4096))
 
 
-@query("p01_clean", with_(ACTS) + "SELECT row_id, user_id, item_id, rating, is_read, is_reviewed, CAST(epoch(date_trunc('second', event_time)) AS BIGINT) AS ts, CAST((rating > 0)::INT + is_read::INT + is_reviewed::INT AS INTEGER) AS information_score FROM acts")
+@query("proj_p01_clean", with_(ACTS) + "SELECT row_id, user_id, item_id, rating, is_read, is_reviewed, CAST(epoch(date_trunc('second', event_time)) AS BIGINT) AS ts, CAST((rating > 0)::INT + is_read::INT + is_reviewed::INT AS INTEGER) AS information_score FROM acts")
 def p01(spark, d):
     src = table(spark, d, "interactions")
     raw = src.select(
@@ -49,32 +49,32 @@ def p01(spark, d):
     return rows.select("row_id", "user_id", "item_id", "rating", "is_read", "is_reviewed", F.unix_timestamp("event_time").alias("ts"), "information_score")
 
 
-@query("p02_normalize_events", "SELECT 'log:' || request_id AS request_id, user_id, item_id AS video_id, request_time_ms AS time_ms, CAST(long_view AS INT) AS long_view FROM impressions")
+@query("proj_p02_normalize_events", "SELECT 'log:' || request_id AS request_id, user_id, item_id AS video_id, request_time_ms AS time_ms, CAST(long_view AS INT) AS long_view FROM impressions")
 def p02(spark, d):
     t = table(spark, d, "impressions")
     return t.select(F.concat(F.lit("log:"), "request_id").alias("request_id"), "user_id", F.col("item_id").alias("video_id"), F.col("request_time_ms").alias("time_ms"), F.col("long_view").cast("int").alias("long_view"))
 
 
 @query(
-    "p03_impute_median",
+    "proj_p03_impute_median",
     "SELECT item_id, version_no, round(coalesce(CASE WHEN isfinite(duration) THEN duration END, (SELECT quantile_cont(duration, 0.5) FROM candidates WHERE isfinite(duration))), 6) AS duration FROM candidates",
 )
 def p03(spark, d):
     return cleaning.impute_median(table(spark, d, "candidates"), ["duration"]).select("item_id", "version_no", F.round("duration", 6).alias("duration"))
 
 
-@query("p04_first_of_list", "SELECT doc_id, coalesce(lang, '') AS first_lang FROM documents")
+@query("proj_p04_first_of_list", "SELECT doc_id, coalesce(lang, '') AS first_lang FROM documents")
 def p04(spark, d):
     printed = F.concat(F.lit("['"), F.coalesce("lang", F.lit("")), F.lit("', 'x']"))
     return table(spark, d, "documents").select("doc_id", S.first_of_list_text(F.when(F.col("lang").isNull(), F.lit("['']")).otherwise(printed)).alias("first_lang"))
 
 
-@query("p05_positives", "SELECT request_id, user_id, item_id FROM impressions WHERE long_view AND NOT is_random")
+@query("proj_p05_positives", "SELECT request_id, user_id, item_id FROM impressions WHERE long_view AND NOT is_random")
 def p05(spark, d):
     return cleaning.positive_events(table(spark, d, "impressions")).select("request_id", "user_id", "item_id")
 
 
-@query("p06_implicit", with_(MIXED) + "SELECT user_id, item_id, rating > 0 AS is_explicit FROM ratings WHERE is_read OR is_reviewed OR rating > 0")
+@query("proj_p06_implicit", with_(MIXED) + "SELECT user_id, item_id, rating > 0 AS is_explicit FROM ratings WHERE is_read OR is_reviewed OR rating > 0")
 def p06(spark, d):
     return cleaning.implicit(ratings(spark, d, True)).select("user_id", "item_id", (F.col("rating") > 0).alias("is_explicit"))
 
@@ -93,7 +93,7 @@ def t02(spark, d):
 
 
 @query(
-    "p08_relevant_mixed",
+    "proj_p08_relevant_mixed",
     with_(MIXED, _T02)
     + """SELECT DISTINCT user_id, item_id FROM t02 t WHERE split = 'test' AND (rating >= 4 OR (rating = 0 AND is_read))
     AND item_id IN (SELECT item_id FROM t02 WHERE split = 'train') AND NOT EXISTS (SELECT 1 FROM t02 s WHERE s.split = 'train' AND s.user_id = t.user_id AND s.item_id = t.item_id)""",
@@ -104,12 +104,12 @@ def p08(spark, d):
     return cleaning.relevant_mixed(parts.where("split = 'test'"), train, train)
 
 
-@query("p10_search", "SELECT doc_id, source FROM documents WHERE contains(lower(concat_ws(' ', source, lang)), 'note en') ORDER BY n_chars DESC NULLS LAST, doc_id LIMIT 8")
+@query("proj_p10_search", "SELECT doc_id, source FROM documents WHERE contains(lower(concat_ws(' ', source, lang)), 'note en') ORDER BY n_chars DESC NULLS LAST, doc_id LIMIT 8")
 def p10(spark, d):
     return cleaning.search(table(spark, d, "documents"), ["source", "lang"], "Note EN", 8, [F.desc_nulls_last("n_chars"), F.asc("doc_id")]).select("doc_id", "source")
 
 
-@query("p11_finite_features", "SELECT user_id, movie_id, ranking_score FROM recommendations WHERE isfinite(ranking_score) AND isfinite(rating_estimate)")
+@query("proj_p11_finite_features", "SELECT user_id, movie_id, ranking_score FROM recommendations WHERE isfinite(ranking_score) AND isfinite(rating_estimate)")
 def p11(spark, d):
     ok = lambda c: ~F.isnan(c) & (F.abs(c) < float("inf"))
     return table(spark, d, "recommendations").where(ok("ranking_score") & ok("rating_estimate")).select("user_id", "movie_id", "ranking_score")

@@ -17,13 +17,13 @@ registry = Registry()
 query = registry.query
 
 
-@query("p07_relevance", with_(RATINGS, _T01) + "SELECT DISTINCT user_id, item_id FROM test WHERE rating >= 4 AND item_id IN (SELECT item_id FROM train)")
+@query("proj_p07_relevance", with_(RATINGS, _T01) + "SELECT DISTINCT user_id, item_id FROM test WHERE rating >= 4 AND item_id IN (SELECT item_id FROM train)")
 def p07(spark, d):
     train, test = _parts(spark, d)
     return test.where("rating >= 4").join(train.select("item_id").distinct(), "item_id", "left_semi").select("user_id", "item_id").distinct()
 
 
-@query("p09_first_users", with_(ACTS) + "SELECT user_id, item_id, count(*) AS n FROM acts WHERE user_id IN (SELECT DISTINCT user_id FROM acts ORDER BY user_id LIMIT 100) GROUP BY ALL")
+@query("proj_p09_first_users", with_(ACTS) + "SELECT user_id, item_id, count(*) AS n FROM acts WHERE user_id IN (SELECT DISTINCT user_id FROM acts ORDER BY user_id LIMIT 100) GROUP BY ALL")
 def p09(spark, d):
     rows = acts(spark, d)
     first = rows.select("user_id").distinct().orderBy("user_id").limit(100)
