@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kelpwright.llm.bpe import count_tokens, encode_corpus
 from kelpwright.llm.consensus import best_representatives, words
-from kelpwright.llm.cooccurrence import cooccurring_pairs
+from kelpwright.llm.cooccurrence import cooccurring_pairs, counted_pairs
 from kelpwright.llm.mixing import mix_sources, reached_shares
 from kelpwright.llm.similar import most_similar
 from kelpwright.llm.spans import shared_spans
@@ -77,13 +77,13 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """,
 )
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = cooccurring_pairs(table(spark, sf_dir, "validation"), "request_id", "history_item_ids", min_count=20)
+    pairs = counted_pairs(table(spark, sf_dir, "validation"), "request_id", "history_item_ids", min_count=20)
     return pairs.where("n_ab * n >= 8 * n_a * n_b").select("item_a", "item_b")
 
 
 @registry.query("p7_surprise")
 def p7_surprise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cooccurring_pairs(table(spark, sf_dir, "validation"), "request_id", "history_item_ids", min_count=5)
+    return cooccurring_pairs(table(spark, sf_dir, "validation"), "request_id", "history_item_ids")
 
 
 @registry.query("p8_ids")
