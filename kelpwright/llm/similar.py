@@ -5,7 +5,8 @@ width; TABLES tables of HASHES such hashes give each vector its buckets.  A
 query also visits PROBES perturbed buckets per table, those whose borders its
 projections lie closest to, in order of estimated success.  Candidates are
 screened on one-byte codes with a proven error bound and reranked by the exact
-cosine of the stored vectors.
+cosine of the stored vectors; in crowded buckets, where codes can't tell the
+vectors apart, all that meet are compared by the exact cosine, in blocks.
 """
 
 from __future__ import annotations
@@ -14,16 +15,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow.dataset import dataset, field
+from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kelpwright.session import shuffle_width
 from kelpwright.storage import Workspace
 
 TABLES, HASHES, PROBES, WIDTH = 4, 12, 8, 1.8
-#: Vectors of a bucket beyond which it is hashed again, finer.
+#: Vectors of a bucket beyond which all that meet there are compared exactly.
 BUCKET_CAP = 8192
-MAX_LEVELS = 6
+#: The same for the pairs that meet in a bucket, where it holds SOME vectors.
+MEET_PAIRS, SOME = 8_000_000, 256
 _QUERY_BLOCK = 1024
+#: Queries and held vectors that an exact comparison has in memory at a time.
+_EXACT_QUERIES, _EXACT_HELD, _EXACT_ROWS = 8192, 8192, 512
+#: Candidate pairs handed on at once.
+_FLUSH = 2_000_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -42,9 +51,9 @@ def _bucket(cells: np.ndarray, salt: np.ndarray | int) -> np.ndarray:
 class PStable:
     """One hash table of p-stable functions, the same on every executor."""
 
-    def __init__(self, dim: int, table: int, level: int = 0) -> None:
-        rng = np.random.default_rng([dim, table, level, 20])
-        self.width = WIDTH / 2**level
+    def __init__(self, dim: int, table: int) -> None:
+        rng = np.random.default_rng([dim, table, 0, 20])
+        self.width = WIDTH
         self.a, self.b = rng.normal(size=(dim, HASHES)), rng.random(HASHES) * self.width
         single = [(j,) for j in range(2 * HASHES)]
         double = [(i, j) for i in range(2 * HASHES) for j in range(i + 1, 2 * HASHES) if j - i != HASHES]
@@ -116,21 +125,78 @@ def _hash(dim: int, probe: bool):
     return run
 
 
-def _rehash(dim: int, level: int, probe: bool):
-    """Entries of crowded buckets, hashed again within the bucket and finer."""
+def _exact(files: list[str], dim: int, k: int, least: float):
+    """Candidate pairs of crowded buckets: the k best of each query (bucket, idx, v).
+
+    Queries come sorted by bucket and are taken _EXACT_QUERIES at a time; the
+    held vectors of their bucket are read in batches from ``files``.
+    """
+
+    def held(bucket: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        fs, _ = FileSystem.from_uri(files[0])
+        own = dataset([FileSystem.from_uri(f)[1] for f in files], format="parquet", filesystem=fs)
+        for b in own.to_batches(filter=field("bucket") == bucket, columns=["idx", "v"], batch_size=_EXACT_HELD, batch_readahead=1, fragment_readahead=1, use_threads=False):
+            if b.num_rows:
+                idx = b.column("idx").to_numpy()
+                v, order = _matrix(b.column("v"), dim), np.argsort(idx)
+                yield idx[order], (v / np.linalg.norm(v, axis=1)[:, None])[order]
+
+    def search(bucket: int, idx: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+        v = v / np.linalg.norm(v, axis=1)[:, None]
+        row, near, score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        floor = np.full(len(idx), least - 1e-9)
+        for ids, base in held(bucket):
+            rows_, near_, score_ = [row], [near], [score]
+            for at in range(0, len(idx), _EXACT_ROWS):
+                own = slice(at, at + _EXACT_ROWS)
+                cos = v[own] @ base.T
+                self_at = np.minimum(np.searchsorted(ids, idx[own]), len(ids) - 1)
+                same = np.flatnonzero(ids[self_at] == idx[own])
+                cos[same, self_at[same]] = -2
+                x, y = np.nonzero(cos >= floor[own, None])
+                if len(x) > 8 * k * len(cos) and len(ids) > k:
+                    # Only the k best of this batch can matter: by rounded cosine, then id.
+                    rank = np.rint(cos * 1e6).astype(np.int64) * -len(ids) + np.arange(len(ids))
+                    y = np.argpartition(rank, k - 1, axis=1)[:, :k].ravel()
+                    x = np.repeat(np.arange(len(cos)), k)
+                    good = cos[x, y] >= floor[own][x]
+                    x, y = x[good], y[good]
+                rows_.append(x + at)
+                near_.append(ids[y])
+                score_.append(np.round(cos[x, y], 6))
+            row, near, score = (np.concatenate(c) for c in (rows_, near_, score_))
+            order = np.lexsort((near, -score, row))
+            row, near, score = row[order], near[order], score[order]
+            first = np.searchsorted(row, row)
+            best = np.arange(len(row)) - first < k
+            row, near, score = row[best], near[best], score[best]
+            last = np.flatnonzero(np.bincount(row, minlength=len(idx)) == k)
+            # A cosine that rounds to the k-th best may still win by its id.
+            floor[last] = np.maximum(floor[last], score[np.searchsorted(row, last, "right") - 1] - 6e-7)
+        a, b = idx[row], near
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = PStable(dim, 0, level)
+        asked: list[pa.RecordBatch] = []
+        bucket, rows = None, 0
+
+        def answer() -> pa.RecordBatch:
+            t = pa.Table.from_batches(asked)
+            return search(bucket, t["idx"].to_numpy(), _matrix(t["v"].combine_chunks(), dim))
+
         for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                part = batch.slice(at, 4096)
-                bucket, idx, held, scale, miss = (part.column(c).to_numpy(zero_copy_only=False) for c in ("bucket", "idx", "held", "scale", "miss"))
-                code = np.frombuffer(b"".join(part.column("code").to_pylist()), np.int8).reshape(-1, dim)
-                cells, within = table.cells(code * scale[:, None].astype(float))
-                salt = bucket.view(np.uint64) + np.uint64(level)
-                yield _entry(_bucket(cells, salt), idx, held.astype(bool), code, scale, miss)
-                for near in table.probes(within).T if probe else ():
-                    yield _entry(_bucket(cells + table.delta[near], salt), idx, False, code, scale, miss)
+            b = batch.column("bucket").to_numpy()
+            cuts = np.concatenate([[0], np.flatnonzero(b[1:] != b[:-1]) + 1, [len(b)]])
+            for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                for at in range(lo, hi, _EXACT_QUERIES):
+                    part = batch.slice(at, min(hi, at + _EXACT_QUERIES) - at)
+                    if asked and (b[lo] != bucket or rows + part.num_rows > _EXACT_QUERIES):
+                        yield answer()
+                        asked, rows = [], 0
+                    bucket, rows = int(b[lo]), rows + part.num_rows
+                    asked.append(part)
+        if asked:
+            yield answer()
 
     return run
 
@@ -145,7 +211,13 @@ def _meet(dim: int, k: int, least: float):
         cuts = np.concatenate([[0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(bucket)]])
         lived = np.add.reduceat(held.astype(np.int64), cuts[:-1]) > 0
         lived &= np.diff(cuts) > 1
-        found_a, found_b = [], []
+        found_a, found_b, found = [], [], 0
+
+        def out() -> pa.RecordBatch:
+            a, b = np.concatenate(found_a), np.concatenate(found_b)
+            both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+
         for a, z in zip(cuts[:-1][lived].tolist(), cuts[1:][lived].tolist(), strict=True):
             there = a + np.flatnonzero(held[a:z])
             base, lower = code[there].astype(np.float32) * scale[there][:, None], miss[there]
@@ -162,10 +234,12 @@ def _meet(dim: int, k: int, least: float):
                 if len(x):
                     found_a.append(idx[own][x])
                     found_b.append(idx[there[y]])
+                    found += len(x)
+                if found > _FLUSH:
+                    yield out()
+                    found_a, found_b, found = [], [], 0
         if found_a:
-            a, b = np.concatenate(found_a), np.concatenate(found_b)
-            both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+            yield out()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
@@ -210,9 +284,10 @@ def most_similar(df: DataFrame, idx: str, vector: str, k: int = 10, min_cosine:
     either side counts for both.  See usable_vectors for what takes part.
 
     Equal vectors are searched once and expanded, at most k + 1 of them as
-    neighbours.  A bucket of more than ``bucket_cap`` vectors is hashed again
-    with cells of half the width, up to MAX_LEVELS times; what is left then is
-    compared in blocks, so no candidate is ever dropped.
+    neighbours.  In a bucket of more than ``bucket_cap`` vectors, or of so many
+    queries that more than MEET_PAIRS pairs meet, blocks of the queries are
+    compared with all its vectors by the exact cosine and each keeps its k best,
+    so no candidate is dropped for the size of its bucket.
     """
     spark = df.sparkSession
     space = Workspace(spark, "similar")
@@ -228,20 +303,21 @@ def most_similar(df: DataFrame, idx: str, vector: str, k: int = 10, min_cosine:
     unique = clean.join(members.where("idx != rep").select("idx"), "idx", "left_anti").select("idx", "v")
 
     entries, standing = (unique.mapInArrow(_hash(dim, probe), _ENTRY) for probe in (True, False))
-    ready = []
-    for level in range(1, MAX_LEVELS + 1):
-        crowded = standing.where("held").groupBy("bucket").count().where(F.col("count") > bucket_cap).select("bucket")
-        crowded = space.write(crowded, f"crowded{level}")
-        if crowded.isEmpty():
-            break
-        ready.append(entries.join(crowded, "bucket", "left_anti"))
-        entries, standing = (
-            e.join(crowded, "bucket", "left_semi").select("bucket", "idx", "held", "code", "scale", "miss").mapInArrow(_rehash(dim, level, probe), _ENTRY)
-            for e, probe in ((entries, True), (standing, False))
-        )
-    for part in ready:
-        entries = entries.unionByName(part)
-    met = entries.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_meet(dim, k, min_cosine), "a bigint, b bigint")
+    some = standing.where("held").groupBy("bucket").count().where(F.col("count") > min(bucket_cap, SOME)).select("bucket")
+    some = space.write(some, "some")
+    crowded = None
+    if not some.isEmpty():
+        met_in = entries.join(some, "bucket", "left_semi").groupBy("bucket").agg(F.count_if("held").alias("n"), F.count(F.lit(1)).alias("asked"))
+        crowded = space.write(met_in.where((F.col("n") > bucket_cap) | (F.col("n") * F.col("asked") > MEET_PAIRS)).drop("n"), "crowded")
+    apart = entries if crowded is None else entries.join(crowded, "bucket", "left_anti").select(entries.columns)
+    met = apart.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_meet(dim, k, min_cosine), "a bigint, b bigint")
+    if crowded is not None and not crowded.isEmpty():
+        there = standing.join(crowded, "bucket", "left_semi").select("bucket", "idx").join(unique, "idx").select("bucket", "idx", "v")
+        files = space.write(there.repartition("bucket").sortWithinPartitions("bucket"), "held", **{"parquet.block.row.count.limit": 4 * _EXACT_HELD}).inputFiles()
+        block = F.pmod(F.xxhash64("idx"), F.ceil(F.col("asked") / _EXACT_QUERIES))
+        asking = entries.select("bucket", "idx").join(crowded, "bucket").select("bucket", "idx", block.alias("block")).join(unique, "idx")
+        asking = asking.repartition(4 * shuffle_width(spark), "bucket", "block").sortWithinPartitions("bucket").select("bucket", "idx", "v")
+        met = met.unionByName(asking.mapInArrow(_exact(sorted(files), dim, k, min_cosine), "a bigint, b bigint"))
     met = space.write(met.distinct(), "pairs")
 
     def dot(x: str, y: str):

@@ -60,6 +60,26 @@ def test_crowded_buckets_are_hashed_again(spark):
     assert len(truth & got) >= 0.8 * len(truth)
 
 
+def test_a_cluster_well_above_the_cap(spark):
+    vectors = clustered(5, 1, 14_000, 0.02)
+    ids = np.array(sorted(vectors))
+    m = np.array([vectors[i] for i in ids], np.float64)
+    m /= np.linalg.norm(m, axis=1)[:, None]
+    asked = np.arange(0, len(ids), 50)
+    cos = np.round(m[asked] @ m.T, 6)
+    cos[np.arange(len(asked)), asked] = -2
+    order = np.lexsort((np.broadcast_to(ids, cos.shape), -cos), axis=1)[:, :10]
+    truth = {(int(ids[a]), int(ids[b])) for a, near in zip(asked, order, strict=True) for b in near}
+    got = {(r.idx, r.neighbor_idx) for r in run(spark, [(i, v, None) for i, v in vectors.items()], min_cosine=0.9)}
+    assert len(truth & got) >= 0.9 * len(truth)
+
+
+def test_crowded_buckets_are_compared_whole(spark):
+    vectors = clustered(6, 1, 2000, 0.05)
+    got = {(r.idx, r.neighbor_idx) for r in run(spark, [(i, v, None) for i, v in vectors.items()], k=3, min_cosine=0.9, bucket_cap=100)}
+    assert len(brute(vectors, 3, 0.9) & got) >= 0.99 * 3 * len(vectors)
+
+
 def test_equal_vectors_nulls_and_zeros(spark):
     one = [1.0] + [0.0] * 49
     near = [1.0, 0.1] + [0.0] * 48
