@@ -296,3 +296,28 @@ def test_stratified_sample(spark):
     got = encode.stratified_sample(df, 12, ["s"], "id", [F.asc("id")])
     assert {r.s: r["count"] for r in got.groupBy("s").count().collect()} == {0: 4, 1: 4, 2: 4}
     assert got.collect() == encode.stratified_sample(df.repartition(5), 12, ["s"], "id", [F.asc("id")]).collect()
+
+
+@pytest.mark.parametrize("biased", [False, True])
+def test_catalog_lists_against_brute_force(spark, monkeypatch, biased):
+    monkeypatch.setattr(factor, "_ITEM_BLOCK", 7)
+    rng = np.random.default_rng(8)
+    train = spark.createDataFrame([(u, i, int(rng.integers(1, 6))) for u in range(40) for i in range(60) if rng.random() < (0.95 if u == 0 else 0.1)], "user_id long, item_id long, rating int")
+    model = factor.fit_als(train, k=3, iterations=2, biased=biased)
+    pairs = train.select("user_id").distinct().crossJoin(train.select("item_id").distinct())
+    expected = set(rows(model.recommend(pairs, train, 5), "user_id", "item_id", "rank"))
+    assert set(rows(model.recommend_catalog(train, 5), "user_id", "item_id", "rank")) == expected
+
+
+def test_factor_lists_reach_every_user(spark, tmp_path):
+    import datetime
+
+    from kelpwright.plans.models import registry
+
+    # Users that share no item: none has a similar user.
+    orders = [(10 * u + k, u, datetime.date(2020, 1, 1 + k)) for u in range(6) for k in range(10)]
+    lines = [(o, 100 * u + o % 10, float(1 + 5 * (o % 10)), "N", "F") for o, u, _ in orders]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderdate date").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_quantity double, l_returnflag string, l_linestatus string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = rows(registry.queries["k08_factor_recommend"](spark, str(tmp_path)), "user_id", "item_id", "rank")
+    assert {(u, r) for u, _, r in got} == {(u, r) for u in range(6) for r in range(1, 11)}
