@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from kelpwright.functions import scalars as S
-from kelpwright.operators import baselines, checks, cleaning, encode, history, metrics, split
+from kelpwright.operators import baselines, checks, cleaning, encode, metrics, split
 from kelpwright.plans.analysis import _LISTS, _PIPE, _T01, _bayes, _parts, _pipeline, _rounded
 from kelpwright.plans.models import _E, _SIM, _cf, _embeddings
 from kelpwright.plans.registry import Registry, table
@@ -57,11 +57,12 @@ def h04(spark, d):
 )
 def h06(spark, d):
     pos = Workspace(spark, "pos").write(cleaning.positive_events(events(spark, d)), "pos")
-    whole = history.prior_histories(pos, limit=1_000_000)
+    # One row an instant; sums over the strictly earlier ones.
+    instants = pos.groupBy("user_id", "request_time_ms").agg(F.count("request_id").alias("n"))
+    before = Window.partitionBy("user_id").orderBy("request_time_ms").rowsBetween(Window.unboundedPreceding, -1)
+    past = instants.select("user_id", "request_time_ms", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n_prior"), F.coalesce(F.lag("request_time_ms").over(Window.partitionBy("user_id").orderBy("request_time_ms")), F.lit(0)).alias("latest_ms"))
     late = pos.where("request_time_ms >= 1721000000000")
-    before = Window.partitionBy("user_id").orderBy("request_time_ms").rangeBetween(Window.unboundedPreceding, -1)
-    latest = pos.withColumn("latest_ms", F.coalesce(F.max("request_time_ms").over(before), F.lit(0))).select("request_id", "latest_ms")
-    return late.select("request_id").join(whole, "request_id").join(latest, "request_id").select("request_id", F.size("history_item_ids").cast("long").alias("n_prior"), "latest_ms")
+    return late.join(past, ["user_id", "request_time_ms"]).select("request_id", "n_prior", "latest_ms")
 
 
 @query("j02_paired_users", with_(*_PIPE, "o AS (SELECT user_id, count(*) AS n FROM train GROUP BY 1)") + "SELECT user_id, round(ndcg, 6) AS ndcg, n FROM per_user JOIN o USING (user_id)")

@@ -321,3 +321,13 @@ def test_factor_lists_reach_every_user(spark, tmp_path):
     spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_quantity double, l_returnflag string, l_linestatus string").write.parquet(f"{tmp_path}/lineitem.parquet")
     got = rows(registry.queries["k08_factor_recommend"](spark, str(tmp_path)), "user_id", "item_id", "rank")
     assert {(u, r) for u, _, r in got} == {(u, r) for u in range(6) for r in range(1, 11)}
+
+
+def test_rolling_history_counts_more_than_a_million(spark, tmp_path):
+    from kelpwright.plans.protocol import registry
+
+    n = 1_000_050
+    late = F.col("id") == n
+    e = spark.range(n + 1).select(F.col("id").cast("string").alias("request_id"), F.lit(1).cast("long").alias("user_id"), F.col("id").alias("item_id"), F.when(late, 1721000000000).otherwise(5).cast("long").alias("request_time_ms"), F.lit(True).alias("long_view"), F.lit(False).alias("is_random"))
+    e.write.parquet(f"{tmp_path}/impressions.parquet")
+    assert rows(registry.queries["h06_rolling_history"](spark, str(tmp_path)), "request_id", "n_prior", "latest_ms") == [(str(n), n, 5)]
