@@ -103,18 +103,15 @@ def attributes_as_known(
 
 
 def request_items(requests: DataFrame, request: str = "request_id", time: str = "time_ms", item: str = "item_id", history: str = "history_item_ids") -> DataFrame:
-    """Distinct (request_id, item_id, time_ms): a request's item and history.
+    """(request_id, item_id, time_ms): a request's items and those of its history.
 
-    Whole repeats count once; of a request logged with different contents the
-    row of the smallest time counts, then the smallest item and history.  Null
-    and empty histories, null items and null elements give no row of their own;
-    requests with a null id or time are left out.
+    One row per request and item, whatever the number of rows of a request; of
+    an item that a request has at several times the latest counts, at which all
+    that was known earlier is known too.  Null and empty histories, null items
+    and null elements give no row of their own; requests with a null id or time
+    are left out.
     """
-    one = (
-        requests.select(F.col(request).alias("r"), F.struct(F.col(time).alias("t"), F.col(item).alias("i"), F.col(history).alias("h")).alias("s"))
-        .where("r IS NOT NULL AND s.t IS NOT NULL")
-        .groupBy("r")
-        .agg(F.min("s").alias("s"))
-    )
-    items = F.array_distinct(F.concat(F.array("s.i"), F.coalesce(F.col("s.h"), F.array().cast("array<bigint>"))))
-    return one.select(F.col("r").alias("request_id"), F.col("s.t").alias("time_ms"), F.explode(items).alias("item_id")).where("item_id IS NOT NULL")
+    items = F.concat(F.array(item), F.coalesce(F.col(history), F.array().cast("array<bigint>")))
+    rows = requests.where(F.col(request).isNotNull() & F.col(time).isNotNull())
+    rows = rows.select(F.col(request).alias("request_id"), F.col(time).alias("time_ms"), F.explode(items).alias("item_id")).where("item_id IS NOT NULL")
+    return rows.groupBy("request_id", "item_id").agg(F.max("time_ms").alias("time_ms"))

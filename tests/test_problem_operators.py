@@ -81,6 +81,12 @@ def test_as_known_against_brute_force(spark):
     assert len(rows) == len(set(rows)) and set(rows) == want
 
 
+def test_a_request_logged_with_different_lists_has_all_items(spark):
+    rows = [("a", 1, 5, [2], ""), ("a", 1, 9, [3, None], ""), ("a", 4, None, [5], "")]
+    got = request_items(spark.createDataFrame(rows, REQ)).select("request_id", "item_id", "time_ms").collect()
+    assert sorted(map(tuple, got)) == [("a", 1, 9), ("a", 2, 5), ("a", 3, 9)]
+
+
 def test_as_known_empty(spark):
     events = request_items(spark.createDataFrame([], REQ))
     versions = spark.createDataFrame([], VERSIONS)
