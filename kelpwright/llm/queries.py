@@ -9,10 +9,11 @@ from kelpwright.llm.bpe import count_tokens, encode_corpus
 from kelpwright.llm.consensus import best_representatives, words
 from kelpwright.llm.cooccurrence import cooccurring_pairs, counted_pairs
 from kelpwright.llm.mixing import mix_sources, reached_shares
-from kelpwright.llm.similar import most_similar
+from kelpwright.llm.similar import most_similar, usable_vectors
 from kelpwright.llm.spans import shared_spans
 from kelpwright.llm.topn import top_n_per_group
 from kelpwright.operators.text_ids import present_id
+from kelpwright.operators.vectors import exact_top_k
 from kelpwright.plans.registry import Registry, table
 from kelpwright.storage import Workspace
 
@@ -44,6 +45,36 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found[0].unionByName(found[1])
 
 
+def _hundredths(spark: SparkSession, sf_dir: str, kind: str) -> tuple[DataFrame, DataFrame]:
+    """The vectors, and as queries those whose id is divisible by 100."""
+    rows = table(spark, sf_dir, f"{kind}_factors").withColumnRenamed(f"{kind}_idx", "idx")
+    return rows, rows.where("idx % 100 = 0").select("idx")
+
+
+@registry.query("p2_top10")
+def p2_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = []
+    for kind in ("item", "user"):
+        rows, asked = _hundredths(spark, sf_dir, kind)
+        found.append(most_similar(rows, "idx", "factors", queries=asked).select(F.lit(kind).alias("kind"), "idx", "neighbor_idx", "cosine"))
+    return found[0].unionByName(found[1])
+
+
+@registry.query("p2_recall")
+def p2_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per kind: how many of the exact 10 best most_similar finds, without a floor."""
+    reached = []
+    for kind in ("item", "user"):
+        rows, asked = _hundredths(spark, sf_dir, kind)
+        found = most_similar(rows, "idx", "factors", queries=asked)
+        usable, _ = usable_vectors(rows, "idx", "factors")
+        usable = Workspace(spark, "recall").write(usable, "usable")
+        exact = exact_top_k(usable.where("idx % 100 = 0"), usable, 10).select(F.col("query").alias("idx"), F.col("neighbor").alias("neighbor_idx"))
+        hit = exact.join(found.select("idx", "neighbor_idx", F.lit(1).alias("hit")), ["idx", "neighbor_idx"], "left")
+        reached.append(hit.agg(F.lit(kind).alias("kind"), F.count(F.lit(1)).alias("n_true"), F.count("hit").alias("n_found"), F.avg(F.coalesce("hit", F.lit(0))).alias("recall")))
+    return reached[0].unionByName(reached[1])
+
+
 @registry.query(
     "p4_found",
     """

@@ -2,7 +2,7 @@ import math
 
 import numpy as np
 
-from kelpwright.llm.similar import most_similar
+from kelpwright.llm.similar import Setting, most_similar
 
 SCHEMA = "id int, v array<float>, cosine double"
 
@@ -12,11 +12,9 @@ def brute(vectors, k, least):
     m = np.array([vectors[i] for i in ids], np.float64)
     m /= np.linalg.norm(m, axis=1)[:, None]
     cos = m @ m.T
-    out = set()
-    for a in range(len(ids)):
-        order = sorted((-round(cos[a, b], 6), ids[b]) for b in range(len(ids)) if b != a and cos[a, b] >= least)
-        out |= {(int(ids[a]), int(b)) for _, b in order[:k]}
-    return out
+    np.fill_diagonal(cos, -9)
+    order = np.lexsort((np.broadcast_to(ids, cos.shape), -np.round(cos, 6)), axis=1)[:, :k]
+    return {(int(ids[a]), int(ids[b])) for a, near in enumerate(order) for b in near if cos[a, b] >= max(least, -2)}
 
 
 def run(spark, rows, **kw):
@@ -52,12 +50,44 @@ def test_whole_top_k_without_a_floor_has_no_wrong_order(spark):
     assert max(np.bincount([r.idx for r in got])) <= 5
 
 
-def test_crowded_buckets_are_hashed_again(spark):
-    vectors = clustered(3, 4, 150, 0.02)
+def isotropic(seed, n, dim=50):
+    return dict(enumerate(np.random.default_rng(seed).normal(size=(n, dim)).astype(np.float32).tolist()))
+
+
+def test_recall_at_the_defaults_on_vectors_without_clusters(spark):
+    vectors = isotropic(7, 3000)
+    truth = brute(vectors, 10, -1)
+    got = {(r.idx, r.neighbor_idx) for r in run(spark, [(i, v, None) for i, v in vectors.items()])}
+    assert len(got) == 10 * len(vectors)
+    assert len(truth & got) >= 0.9 * len(truth)
+
+
+def test_queries_limit_who_asks_and_not_who_is_found(spark):
+    vectors = isotropic(8, 1500)
+    vectors[1500] = vectors[100]  # an asked one that stands for none, and one that is not asked
     rows = [(i, v, None) for i, v in vectors.items()]
-    truth = brute(vectors, 3, 0.9)
-    got = {(r.idx, r.neighbor_idx) for r in run(spark, rows, k=3, min_cosine=0.9, bucket_cap=40)}
-    assert len(truth & got) >= 0.8 * len(truth)
+    asked = spark.createDataFrame([(i, "x") for i in range(0, 1600, 100)] + [(None, "y"), (100, "z")], "id int, cosine string")
+    got = run(spark, rows, queries=asked)
+    assert {r.idx for r in got} == set(range(0, 1501, 100))
+    truth = {p for p in brute(vectors, 10, -1) if p[0] % 100 == 0}
+    assert len(truth & {(r.idx, r.neighbor_idx) for r in got}) >= 0.9 * len(truth)
+
+
+def test_every_bucket_visited_is_exact(spark):
+    vectors = isotropic(9, 700, 12) | {k + 700: v for k, v in clustered(3, 4, 50, 0.02).items() if len(v) == 12}
+    got = {(r.idx, r.neighbor_idx) for r in run(spark, [(i, v, None) for i, v in vectors.items()], setting=Setting(4, 2.5, 1, 256, 0.5))}
+    assert got == brute(vectors, 10, -1)
+
+
+def test_tasks_and_blocks_change_nothing(spark):
+    vectors = clustered(3, 4, 150, 0.02) | {k + 10_000: v for k, v in isotropic(4, 600).items()}
+    rows, setting, got = [(i, v, None) for i, v in vectors.items()], Setting(6, 2.5, 2, 8, 0.6), []
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    for parts in ("1", "3", "8"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        got.append(sorted((r.idx, r.neighbor_idx) for r in run(spark, rows, setting=setting)))
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got[0] == got[1] == got[2]
 
 
 def test_a_cluster_well_above_the_cap(spark):
@@ -74,10 +104,11 @@ def test_a_cluster_well_above_the_cap(spark):
     assert len(truth & got) >= 0.9 * len(truth)
 
 
-def test_crowded_buckets_are_compared_whole(spark):
-    vectors = clustered(6, 1, 2000, 0.05)
-    got = {(r.idx, r.neighbor_idx) for r in run(spark, [(i, v, None) for i, v in vectors.items()], k=3, min_cosine=0.9, bucket_cap=100)}
-    assert len(brute(vectors, 3, 0.9) & got) >= 0.99 * 3 * len(vectors)
+def test_dimensions_below_the_functions(spark):
+    vectors = isotropic(6, 400, 3)
+    got = {(r.idx, r.neighbor_idx) for r in run(spark, [(i, v, None) for i, v in vectors.items()], k=3)}
+    truth = brute(vectors, 3, -1)
+    assert len(truth & got) >= 0.9 * len(truth)
 
 
 def test_equal_vectors_nulls_and_zeros(spark):
