@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kelpwright.llm.bpe import count_tokens, encode_corpus
-from kelpwright.llm.consensus import best_representatives, words
+from kelpwright.llm.consensus import best_representatives, tagged, words
 from kelpwright.llm.cooccurrence import cooccurring_pairs, counted_pairs
 from kelpwright.llm.mixing import mix_sources, reached_shares
 from kelpwright.llm.similar import most_similar, usable_vectors
@@ -75,6 +75,12 @@ def p2_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reached[0].unionByName(reached[1])
 
 
+def _rated(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[Column]]:
+    rows = table(spark, sf_dir, "interactions").where("event_time IS NOT NULL AND rating BETWEEN 0 AND 5")
+    rows = rows.withColumns({"user_id": present_id("user_id"), "item_id": present_id("item_id")})
+    return rows, [F.col("information_score"), F.col("event_time"), -F.col("row_id")]
+
+
 @registry.query(
     "p4_found",
     """
@@ -88,13 +94,34 @@ def p2_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """,
 )
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "interactions").where("event_time IS NOT NULL AND rating BETWEEN 0 AND 5")
-    rows = rows.withColumns({"user_id": present_id("user_id"), "item_id": present_id("item_id")})
-    trust = [F.col("information_score"), F.col("event_time"), -F.col("row_id")]
+    rows, trust = _rated(spark, sf_dir)
     rating = {"rating_row_id": (words("rating"), F.col("rating") > 0)}
     return best_representatives(rows, ["user_id", "item_id"], "row_id", trust, words("rating", "is_read", "is_reviewed"), rating)
 
 
+@registry.query(
+    "p4_consensus",
+    """
+    WITH r AS (
+      SELECT row_id, trim(user_id, chr(32)||chr(9)||chr(10)||chr(13)||chr(160)) AS user_id, trim(item_id, chr(32)||chr(9)||chr(10)||chr(13)||chr(160)) AS item_id,
+             information_score AS s, event_time AS t, rating, coalesce(CAST(is_read AS VARCHAR), '') AS is_read, coalesce(CAST(is_reviewed AS VARCHAR), '') AS is_reviewed
+      FROM interactions WHERE event_time IS NOT NULL AND rating BETWEEN 0 AND 5),
+    k AS (SELECT *, row_number() OVER (PARTITION BY user_id, item_id ORDER BY s DESC NULLS LAST, t DESC, row_id) AS k, count(*) OVER (PARTITION BY user_id, item_id) AS n
+          FROM r WHERE user_id <> '' AND item_id <> ''),
+    long AS (UNPIVOT (SELECT user_id, item_id, k, CAST(rating AS VARCHAR) AS rating, is_read, is_reviewed FROM k WHERE n > 1) ON rating, is_read, is_reviewed INTO NAME field VALUE token),
+    votes AS (SELECT user_id, item_id, field, token, count(*) AS w, min(k) AS k FROM long GROUP BY ALL),
+    elected AS (SELECT user_id, item_id, field, token FROM votes QUALIFY row_number() OVER (PARTITION BY user_id, item_id, field ORDER BY w DESC, k) = 1),
+    far AS (SELECT l.user_id, l.item_id, l.k, count(*) FILTER (l.token <> e.token) AS d FROM long l JOIN elected e USING (user_id, item_id, field) GROUP BY ALL),
+    best AS (SELECT user_id, item_id, k FROM far QUALIFY row_number() OVER (PARTITION BY user_id, item_id ORDER BY d, k) = 1)
+    SELECT user_id, item_id, row_id FROM k JOIN best USING (user_id, item_id, k)
+    """,
+)
+def p4_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The row closest to what most rows of its group say, field by field."""
+    rows, trust = _rated(spark, sf_dir)
+    return best_representatives(rows, ["user_id", "item_id"], "row_id", trust, tagged("rating", "is_read", "is_reviewed"), vote="count")
+
+
 @registry.query(
     "p7_found",
     """
