@@ -38,6 +38,14 @@ def delete(spark: SparkSession, path: str) -> None:
     _live.discard(path)
 
 
+def table_bytes(table: DataFrame) -> int:
+    """Bytes of the files of a table that was read back."""
+    spark = table.sparkSession
+    conf, path = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    files = [path(f) for f in table.inputFiles()]
+    return sum(f.getFileSystem(conf).getFileStatus(f).getLen() for f in files)
+
+
 @contextlib.contextmanager
 def shuffle_cleanup(spark: SparkSession) -> Iterator[None]:
     """Let each SQL execution inside drop its shuffle files when it ends.
