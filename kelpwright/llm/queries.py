@@ -139,6 +139,22 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.where("n_ab * n >= 8 * n_a * n_b").select("item_a", "item_b")
 
 
+@registry.query(
+    "p7_counts",
+    """
+    WITH r AS (SELECT DISTINCT request_id, i AS item FROM (SELECT request_id, unnest(history_item_ids) AS i FROM validation) WHERE i IS NOT NULL),
+    n AS (SELECT count(DISTINCT request_id) AS n FROM r),
+    c AS (SELECT item, count(*) AS n FROM r GROUP BY item),
+    ab AS (SELECT x.item AS item_a, y.item AS item_b, count(*) AS n_ab FROM r x JOIN r y ON x.request_id = y.request_id AND x.item < y.item GROUP BY ALL)
+    SELECT item_a, item_b, n_ab, a.n AS n_a, b.n AS n_b, n.n AS n, n_ab * CAST(n.n AS DOUBLE) / (a.n * b.n) AS lift
+    FROM ab JOIN c a ON a.item = item_a JOIN c b ON b.item = item_b, n
+    """,
+)
+def p7_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts and lift of p7_surprise, for comparison with SQL."""
+    return p7_surprise(spark, sf_dir).select("item_a", "item_b", "n_ab", "n_a", "n_b", "n", "lift")
+
+
 @registry.query("p7_surprise")
 def p7_surprise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cooccurring_pairs(table(spark, sf_dir, "validation"), "request_id", "history_item_ids")
@@ -169,6 +185,17 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reached_shares(_mix(spark, sf_dir), table(spark, sf_dir, "source_targets"))
 
 
-@registry.query("p10_found")
+@registry.query(
+    "p10_found",
+    """
+    WITH g AS (
+      SELECT doc_id, p, hash(substr(text, p, 150)) AS s
+      FROM (SELECT doc_id, text, unnest(range(1, length(text) - 148)) AS p FROM documents WHERE length(text) >= 150)),
+    several AS (SELECT s FROM g GROUP BY s HAVING min(doc_id) < max(doc_id)),
+    hit AS (SELECT DISTINCT doc_id, p FROM g JOIN several USING (s))
+    SELECT doc_id, CAST(sum(least(150, nxt - p)) AS BIGINT) AS shared_chars
+    FROM (SELECT doc_id, p, coalesce(lead(p) OVER (PARTITION BY doc_id ORDER BY p), p + 150) AS nxt FROM hit) GROUP BY doc_id
+    """,
+)
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_spans(table(spark, sf_dir, "documents"))
