@@ -18,12 +18,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kelpwright.llm.textarrays import points, slices
-from kelpwright.storage import Workspace
+from kelpwright.storage import Workspace, table_bytes
 
+#: Bytes on disk of a list of hits that may be broadcast.
+BROADCAST_BYTES = 16_000_000
 #: Code points that reach a 32-bit gear hash before they are shifted out.
 GEAR = 32
 _BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
@@ -122,7 +124,8 @@ def _fingerprints(min_span: int):
                 once = np.ones(len(text), bool)
                 once[1:] = (digest[1:] != digest[:-1]) | (text[1:] != text[:-1])
                 ids = part.column("doc_id").take(pa.array(text[once]))
-                yield pa.RecordBatch.from_arrays([_signed(digest[once]), ids], names=["digest", "doc_id"])
+                times = np.diff(np.append(np.flatnonzero(once), len(text)))
+                yield pa.RecordBatch.from_arrays([_signed(digest[once]), ids, pa.array(times)], names=["digest", "doc_id", "times"])
 
     return run
 
@@ -269,9 +272,9 @@ def _grams(min_span: int):
     return run
 
 
-def _in_several_docs(df: DataFrame, *keys: str) -> DataFrame:
+def _in_several_docs(df: DataFrame, *keys: str, times: Column | None = None) -> DataFrame:
     """Keys held by two or more distinct doc_ids and how often they are held."""
-    counts = df.groupBy(*keys).agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count(F.lit(1)).alias("n_held"))
+    counts = df.groupBy(*keys).agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.sum(F.lit(1) if times is None else times).alias("n_held"))
     return counts.where("a < b").select(*keys, "n_held")
 
 
@@ -285,25 +288,32 @@ def shared_spans(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_
     count.  Texts may be of any length.  Other columns are ignored.  An empty
     table gives no rows.
 
-    Contexts of a chunk meet in one task and are verified there.  Chunks in
-    more than ``crowd`` records are not gathered: their spans are counted by
-    hash with partial aggregation and joined back, which no single key holds up.
+    Spans are equal where two 64-bit hashes of theirs are (one hash, the place
+    beside the shared chunk and its digest, or both hashes): the texts
+    themselves are not compared once more.
+
+    Contexts of a chunk meet in one task and are verified there.  Chunks that
+    occur more than ``crowd`` times, in however few records, are not gathered:
+    their spans are counted by hash with partial aggregation and joined back,
+    which no single key holds up.
     """
     spark = df.sparkSession
     docs = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where(
         F.col("doc_id").isNotNull() & (F.length("text") >= min_span)
     )
     space = Workspace(spark, "spans")
-    prints = space.write(docs.mapInArrow(_fingerprints(min_span), "digest bigint, doc_id bigint"), "prints")
+    prints = space.write(docs.mapInArrow(_fingerprints(min_span), "digest bigint, doc_id bigint, times bigint"), "prints")
+    # A table of its own, so that AQE may split the records of a common chunk in the join.
+    several = space.write(_in_several_docs(prints, "digest", times=F.col("times")), "several")
     many = F.when(F.col("n_held") > crowd, F.col("digest"))
-    hits = (
-        prints.join(_in_several_docs(prints, "digest"), "digest")
-        .groupBy("doc_id").agg(F.collect_set("digest").alias("digests"), F.collect_set(many).alias("crowded"))
-    )
+    hits = prints.join(several, "digest").groupBy("doc_id").agg(F.collect_set("digest").alias("digests"), F.collect_set(many).alias("crowded"))
     hits = space.write(hits, "hits")
     space.drop("prints")
-    # The small side is hashed, so that whole texts need not be sorted.
-    suspects = docs.join(hits.hint("shuffle_hash"), "doc_id")
+    space.drop("several")
+    # A small list of hits is sent to the texts; beside a large one it is hashed,
+    # so that whole texts need not be sorted.
+    small = table_bytes(hits) <= BROADCAST_BYTES
+    suspects = docs.join(F.broadcast(hits) if small else hits.hint("shuffle_hash"), "doc_id")
     schema = "digest bigint, crowded boolean, doc_id bigint, at int, lead int, context string"
     contexts = space.write(suspects.mapInArrow(_contexts(min_span), schema), "contexts")
     space.drop("hits")

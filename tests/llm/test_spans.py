@@ -40,6 +40,16 @@ def test_against_brute_force(spark, crowd):
     assert {r.doc_id: r.shared_chars for r in got.collect()} == brute(docs, 150)
 
 
+def test_a_chunk_repeated_in_one_record_and_one_in_many(spark):
+    rng = random.Random(12)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    unit, notice, own = ("".join(rng.choices(letters, k=n)) for n in (300, 400, 10))
+    docs = [(0, unit * 2000), (1, "x" + unit)] + [(k, f"{k} {own} {notice}") for k in range(2, 400)]
+    got = {r.doc_id: r.shared_chars for r in shared_spans(spark.createDataFrame(docs, "doc_id long, text string"), crowd=100).collect()}
+    assert got[0] == 300 * 2000 - 0 and got[1] == 300
+    assert all(len(notice) <= got[k] <= len(notice) + 14 for k in range(2, 400)) and len(got) == 400
+
+
 def test_empty(spark):
     df = spark.createDataFrame([(1, None)], "doc_id long, text string")
     assert shared_spans(df).collect() == [] and shared_spans(df.limit(0)).collect() == []
