@@ -28,28 +28,23 @@ def known_changes(versions: DataFrame, item: str, version: str, valid_from: str,
     return rows.groupBy("item", F.greatest("valid_ms", "known_ms").alias("eff")).agg(best)
 
 
-def as_known_states(changes: DataFrame, first: int, last: int, period_ms: int) -> DataFrame:
-    """State per (item, period): the snapshot at its start and the log within it.
+def as_known_states(changes: DataFrame, wanted: DataFrame, period_ms: int) -> DataFrame:
+    """(item, period, eff, best): the snapshot at its start and the changes within it.
 
-    ``log`` is an array of (eff, best); the snapshot is its entry with the
-    smallest possible ``eff``.  Periods before ``first`` are folded into the
-    first snapshot, so the table covers just the span of the events, and an
-    item has at most one snapshot a period however many changes it had.
+    Of the (item, period) pairs in ``wanted`` only; a snapshot has the smallest
+    possible ``eff``.  Periods come from the events, not from a calendar: one
+    odd time costs one snapshot.
     """
-    # eff < first*period belongs to the state before the first period.
-    period = F.greatest(F.floor(F.col("eff") / F.lit(period_ms)), F.lit(first - 1)).cast("long")
-    changes = changes.withColumn("period", period).where(F.col("period") <= last)
-    ends = changes.groupBy("item", "period").agg(F.max("best").alias("best"))
-    by_item = Window.partitionBy("item").orderBy("period")
-    upto = F.max("best").over(by_item.rowsBetween(Window.unboundedPreceding, 0))
-    until = F.coalesce(F.lead("period").over(by_item), F.lit(last))
-    snapshots = (
-        ends.select("item", "period", upto.alias("best"), until.alias("until"))
-        .where("period < until")
-        .select("item", F.explode(F.sequence(F.col("period") + 1, "until")).alias("period"), F.lit(-(2**63)).cast("long").alias("eff"), "best")
-    )
-    log = changes.where(F.col("period") >= first).select("item", "period", "eff", "best")
-    return snapshots.unionByName(log).groupBy("item", "period").agg(F.collect_list(F.struct("eff", "best")).alias("log"))
+    keys = ["item", "period"]
+    changes = changes.withColumn("period", F.floor(F.col("eff") / F.lit(period_ms)).cast("long"))
+    changes = changes.join(wanted.select("item").distinct(), "item", "left_semi")
+    ends = changes.groupBy(*keys).agg(F.max("best").alias("best")).withColumn("asks", F.lit(0))
+    asks = wanted.withColumns({"best": F.lit(None).cast(dict(ends.dtypes)["best"]), "asks": F.lit(1)})
+    # Of a period's rows the asking one comes first: it sees earlier periods alone.
+    upto = Window.partitionBy("item").orderBy("period", F.desc("asks")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    known = ends.unionByName(asks).withColumn("best", F.max("best").over(upto)).where("asks = 1 AND best IS NOT NULL")
+    snapshots = known.select(*keys, F.lit(-(2**63)).cast("long").alias("eff"), "best")
+    return snapshots.unionByName(changes.join(wanted, keys, "left_semi").select(*keys, "eff", "best"))
 
 
 def replay(log: Column, at: Column) -> Column:
@@ -67,6 +62,7 @@ def attributes_as_known(
     valid_from: str = "eligible_after_ms",
     known_from: str = "first_observed_ms",
     period_ms: int = 30 * DAY_MS,
+    log_entries: int = 256,
 ) -> DataFrame:
     """Each event with the version of its item valid and on record at its time.
 
@@ -75,31 +71,35 @@ def attributes_as_known(
     of ``events`` are kept; ``version_no`` and ``valid_from_ms`` are added (an
     existing column of these names is replaced).  Events with a null time or
     item, and events before their item's first version, have no result row.
+    Times may be any: negative, or far in the future.
 
     Snapshots and logs are written to the shared folder.  Each event meets one
-    row, that of (item, period of its time): an equi-join which AQE splits where
-    an item's events are many, as the state side holds one row per key.
+    row, that of (item, period of its time), and replays its log: an equi-join
+    which AQE splits where an item's events are many.  Where an item has more
+    than ``log_entries`` changes in a period, events and changes are replayed as
+    one ordered stream instead of a list per event; both ways give the same.
     """
-    spark = events.sparkSession
-    bounds = events.agg(F.min(event_time).alias("a"), F.max(event_time).alias("b")).first()
-    first, last = ((bounds["a"] or 0) // period_ms, (bounds["b"] or 0) // period_ms)
-    wanted = events.select(F.col(event_item).alias("item")).where("item IS NOT NULL").distinct()
-    changes = known_changes(versions, item, version, valid_from, known_from).join(wanted, "item", "left_semi")
-    states = Workspace(spark, "asof").write(as_known_states(changes, first, last, period_ms), "states")
-
+    space = Workspace(events.sparkSession, "asof")
+    period = F.floor(F.col("at") / F.lit(period_ms)).cast("long")
     keep = [c for c in events.columns if c not in ("version_no", "valid_from_ms")]
-    keyed = (
-        events.select(F.struct(*keep).alias("event"), F.col(event_item).alias("item"), F.col(event_time).alias("at"))
-        .where("item IS NOT NULL AND at IS NOT NULL")
-        .withColumn("period", F.floor(F.col("at") / F.lit(period_ms)).cast("long"))
-    )
-    best = replay(F.col("log"), F.col("at"))
-    return (
-        keyed.join(states, ["item", "period"])
-        .select("event", best.alias("best"))
-        .where("best IS NOT NULL")
-        .select("event.*", F.col("best.version").alias("version_no"), F.col("best.valid_ms").alias("valid_from_ms"))
-    )
+    keyed = events.select(F.struct(*keep).alias("event"), F.col(event_item).alias("item"), F.col(event_time).alias("at"))
+    keyed = keyed.where("item IS NOT NULL AND at IS NOT NULL").withColumn("period", period)
+    wanted = space.write(keyed.select("item", "period").distinct(), "wanted")
+    changes = known_changes(versions, item, version, valid_from, known_from)
+    entries = space.write(as_known_states(changes, wanted, period_ms), "entries")
+    keys = ["item", "period"]
+    long = space.write(entries.groupBy(*keys).count().where(F.col("count") > log_entries).select(*keys), "long")
+    streamed = not long.isEmpty()
+    short = entries.join(long, keys, "left_anti") if streamed else entries
+    states = space.write(short.groupBy(*keys).agg(F.collect_list(F.struct("eff", "best")).alias("log")), "states")
+    found = keyed.join(states, keys).select("event", replay(F.col("log"), F.col("at")).alias("best"))
+    if streamed:
+        asks = keyed.join(long, keys, "left_semi").select(*keys, "at", F.lit(1).alias("asks"), "event", F.lit(None).cast(dict(entries.dtypes)["best"]).alias("best"))
+        told = entries.join(long, keys, "left_semi").select(*keys, F.col("eff").alias("at"), F.lit(0).alias("asks"), F.lit(None).cast(dict(keyed.dtypes)["event"]).alias("event"), "best")
+        upto = Window.partitionBy(*keys).orderBy("at", "asks").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        replayed = asks.unionByName(told).withColumn("best", F.max("best").over(upto)).where("asks = 1").select("event", "best")
+        found = found.unionByName(replayed)
+    return found.where("best IS NOT NULL").select("event.*", F.col("best.version").alias("version_no"), F.col("best.valid_ms").alias("valid_from_ms"))
 
 
 def request_items(requests: DataFrame, request: str = "request_id", time: str = "time_ms", item: str = "item_id", history: str = "history_item_ids") -> DataFrame:

@@ -10,6 +10,7 @@ from kelpwright.operators.sessions import sessionize
 from kelpwright.operators.skew import counts_per_key
 from kelpwright.operators.text_ids import present_id, trim_id
 from kelpwright.plans.registry import Registry, table
+from kelpwright.storage import Workspace
 
 registry = Registry()
 
@@ -42,7 +43,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """,
 )
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = request_items(table(spark, sf_dir, "validation"))
+    events = Workspace(spark, "requests").write(request_items(table(spark, sf_dir, "validation")), "events")
     return attributes_as_known(events, table(spark, sf_dir, "candidates")).select("request_id", "item_id", "version_no")
 
 
