@@ -5,27 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kelpwright.session import shuffle_width
+from kelpwright.storage import Workspace
+
 
 def heavy_keys(df: DataFrame, key: str, share: float = 0.001, rate: float | None = None, sample_rows: int = 200_000) -> DataFrame:
     """Keys that hold at least ``share`` of a random sample: column ``key``.
 
     At most 1/share keys can qualify, so the result has a proven bound and may
     be broadcast.  Sampling decides only how a key is processed, never what is
-    counted, so a missed heavy key costs time and not correctness.
+    counted, so a missed heavy key costs time and not correctness.  The list is
+    read from a table, so that every use of it sees the same keys.
     """
     if rate is None:
         n = df.count()
         rate = min(1.0, sample_rows / max(1, n))
-    sample = df.select(key).where(F.col(key).isNotNull())
+    sample = df.select(key)
     if rate < 1.0:
         sample = sample.sample(fraction=rate, seed=7)
-    counts = sample.groupBy(key).count()
+    counts = sample.where(F.col(key).isNotNull()).groupBy(key).count()
     # No more rows than the sample, whose size is bounded, meet in this window.
     total = F.sum("count").over(Window.partitionBy())
-    return counts.withColumn("total", total).where(F.col("count") >= F.col("total") * share).select(key)
+    heavy = counts.withColumn("total", total).where(F.col("count") >= F.col("total") * share).select(key)
+    return Workspace(df.sparkSession, "heavy").write(heavy, "keys")
 
 
-def counts_per_key(df: DataFrame, key: str, record: str | None, user: str, share: float = 0.001, sample_rows: int = 200_000) -> DataFrame:
+def counts_per_key(df: DataFrame, key: str, record: str | None, user: str, share: float | None = None, sample_rows: int | None = None) -> DataFrame:
     """Per non-null ``key``: n_records and n_users.
 
     ``record``: column whose distinct non-null values are the records, or None
@@ -35,10 +40,15 @@ def counts_per_key(df: DataFrame, key: str, record: str | None, user: str, share
     all tasks; the remaining keys take one shuffle on the key, after which both
     distinct counts are local.  The two parts are united.  An empty table gives
     no rows; a key whose users are all null has n_users 0.
+
+    Unless given, ``share`` is a fourth of a shuffle partition's part of the
+    rows, at most a thousandth, so that what other keys hold fits a partition at
+    every width; the sample has 200 rows for each such share.
     """
-    rows = df.select(F.col(key).alias("k"), F.col(user).alias("u"), *([F.col(record).alias("r")] if record else [])).where("k IS NOT NULL")
-    heavy = F.broadcast(heavy_keys(rows, "k", share, sample_rows=sample_rows).withColumn("heavy", F.lit(True)))
-    flagged = rows.join(heavy, "k", "left")
+    share = share or min(0.001, 0.25 / shuffle_width(df.sparkSession))
+    rows = df.select(F.col(key).alias("k"), F.col(user).alias("u"), *([F.col(record).alias("r")] if record else []))
+    heavy = F.broadcast(heavy_keys(rows, "k", share, sample_rows=sample_rows or int(200 / share)).withColumn("heavy", F.lit(True)))
+    flagged = rows.where("k IS NOT NULL").join(heavy, "k", "left")
     hot, cold = flagged.where("heavy").drop("heavy"), flagged.where("heavy IS NULL").drop("heavy")
 
     records = F.countDistinct("r") if record else F.count(F.lit(1))
