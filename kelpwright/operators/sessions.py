@@ -57,8 +57,10 @@ def sessionize(
     number of rows.  Gaps too wide for a long end a session.
     """
     first = first_occurrence(df, event, user, time, tab)
+    # One exchange serves the instants, the window and the sessions of a block.
     moments = (
         first.withColumn("block", F.floor(F.col("t") / F.lit(block_ms)))
+        .repartition("user_id", "block")
         .groupBy("user_id", "block", "t")
         .agg(F.count(F.lit(1)).alias("n"), F.collect_set("tab").alias("tabs"))
     )

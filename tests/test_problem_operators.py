@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from kelpwright.operators.asof import UNKNOWN_MS, attributes_as_known, request_items
@@ -62,7 +63,8 @@ REQ = "request_id string, item_id long, time_ms long, history_item_ids array<lon
 VERSIONS = "item_id long, version_no int, eligible_after_ms long, first_observed_ms long, time_ms int"
 
 
-def test_as_known_against_brute_force(spark):
+@pytest.mark.parametrize("log_entries", [256, 1])
+def test_as_known_against_brute_force(spark, log_entries):
     rng = random.Random(6)
     when = lambda: rng.choice([None, UNKNOWN_MS, rng.randrange(0, 50), rng.randrange(0, 50), rng.randrange(0, 50)])
     versions = [(rng.choice([None, *range(8)]), rng.randrange(1, 5), when(), when(), 0) for _ in range(150)]
@@ -70,7 +72,7 @@ def test_as_known_against_brute_force(spark):
     requests = [(f"q{k}", rng.choice([None, *range(10)]), rng.choice([None, *range(60)]), rng.choice([None, [], [rng.choice([None, *range(10)]) for _ in range(5)]]), "z") for k in range(120)]
     requests += requests[:30]
     events = request_items(spark.createDataFrame(requests, REQ))
-    got = attributes_as_known(events, spark.createDataFrame(versions, VERSIONS), period_ms=7)
+    got = attributes_as_known(events, spark.createDataFrame(versions, VERSIONS), period_ms=7, log_entries=log_entries)
     want = set()
     for q, item, t, history, _ in requests:
         for i in {item, *(history or [])} - {None} if t is not None else ():
@@ -87,6 +89,15 @@ def test_a_request_logged_with_different_lists_has_all_items(spark):
     assert sorted(map(tuple, got)) == [("a", 1, 9), ("a", 2, 5), ("a", 3, 9)]
 
 
+def test_as_known_with_odd_clocks(spark):
+    times = [9_000_000_000_000_000_000, -(2**62), -1, 0, 5, 4_100_000_000_000_000, 2**63 - 1]
+    events = spark.createDataFrame([(f"q{k}", 1, t) for k, t in enumerate(times)], "request_id string, item_id long, time_ms long")
+    versions = spark.createDataFrame([(1, 1, -(2**61), -5, 0), (1, 2, 3, 3, 0), (1, 3, 4_000_000_000_000_000, 0, 0), (1, 4, 8_999_999_999_999_999_999, 1, 0)], VERSIONS)
+    for log_entries in (256, 0):
+        got = {r.request_id: r.version_no for r in attributes_as_known(events, versions, log_entries=log_entries).collect()}
+        assert got == {"q0": 4, "q2": 1, "q3": 1, "q4": 2, "q5": 3, "q6": 4}
+
+
 def test_as_known_empty(spark):
     events = request_items(spark.createDataFrame([], REQ))
     versions = spark.createDataFrame([], VERSIONS)
