@@ -28,18 +28,17 @@ def bayesian_popularity(train: DataFrame, weight: float = 25.0, item: str = "ite
 def popular_unseen(scores: DataFrame, seen: DataFrame, n: int, user: str = "user_id", item: str = "item_id", score: str = "score") -> DataFrame:
     """(user, item, rank): each user's n best items of one global order, unseen.
 
-    The best n + m items are enough, m the most that a user has seen of the
-    catalog; each user subtracts own items from that list, so no user-by-item
-    product is formed.
+    A user who has seen m items finds the n best unseen ones among the first
+    n + m places of the order, so each user subtracts own places from as many
+    and no user-by-item product is formed; a busy user costs only itself.
     """
     pairs = seen.select(user, item).distinct()
-    most = pairs.groupBy(user).count().agg(F.max("count").alias("m")).first()["m"] or 0
     order = [F.desc(score), F.asc(item)]
-    best = scores.select(item, score).orderBy(*order).limit(n + most)
-    place = Workspace(seen.sparkSession, "popular").write(global_index(best, order, "place").select(F.col("place").cast("int").alias("place"), item), "place")
+    place = Workspace(seen.sparkSession, "popular").write(global_index(scores.select(item, score), order, "place").select(F.col("place").cast("int").alias("place"), item), "place")
     size = place.count()
-    own = pairs.select(user).distinct().join(pairs.join(place, item).groupBy(user).agg(F.collect_list("place").alias("own")), user, "left")
-    left = F.slice(F.array_except(F.sequence(F.lit(0), F.lit(max(size - 1, 0))), F.coalesce("own", F.array().cast("array<int>"))), 1, n)
+    own = pairs.join(place, item, "left").groupBy(user).agg(F.collect_list("place").alias("own"))
+    upto = F.least(F.lit(size), F.size("own") + n) - 1
+    left = F.slice(F.array_except(F.when(upto >= 0, F.sequence(F.lit(0), upto)).otherwise(F.array().cast("array<int>")), "own"), 1, n)
     lists = own.select(user, F.posexplode(left).alias("at", "place")).join(place, "place")
     return lists.select(user, item, (F.col("at") + 1).alias("rank"))
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import bisect
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,16 +34,44 @@ def completed_histories(
     An item is visible to a request if its ``available`` time is strictly
     smaller than the request's time; visible items keep their request order
     (``ordinal``) and the last ``limit`` count.  Requests and publications are
-    replayed as one ordered stream, requests first at equal times.
+    replayed as one ordered stream a user, requests first at equal times; of
+    what is visible only the last ``limit`` are held, whatever the user's number
+    of events.
     """
-    ask = events.select(user, F.col(time).alias("ts"), F.lit(0).alias("kind"), ordinal, F.lit(None).cast("struct<o:bigint,i:bigint>").alias("pub"))
-    tell = F.struct(F.col(ordinal).cast("long").alias("o"), F.col(item).cast("long").alias("i"))
-    publish = events.select(user, F.col(available).alias("ts"), F.lit(1).alias("kind"), ordinal, tell.alias("pub"))
-    upto = Window.partitionBy(user).orderBy("ts", "kind", ordinal).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    visible = F.array_sort(F.collect_list("pub").over(upto))
-    last = F.slice(visible, F.greatest(F.size(visible) - limit + 1, F.lit(1)), limit)
-    replay = ask.unionByName(publish).withColumn("h", F.transform(last, lambda p: p["i"]))
-    return replay.where("kind = 0").select(user, ordinal, F.col("h").alias("history_item_ids"))
+    ask = events.select(F.col(user).alias("u"), F.col(time).alias("ts"), F.lit(0).alias("kind"), F.col(ordinal).cast("long").alias("o"), F.lit(None).cast("long").alias("i"))
+    tell = events.select(F.col(user).alias("u"), F.col(available).alias("ts"), F.lit(1).alias("kind"), F.col(ordinal).cast("long").alias("o"), F.col(item).cast("long").alias("i"))
+    stream = ask.unionByName(tell.where("ts IS NOT NULL")).repartition("u").sortWithinPartitions("u", "ts", "kind", "o", "i")
+    kind = dict(events.dtypes)[user]
+    lists = stream.mapInArrow(_replay(limit), f"u {kind}, o bigint, h array<bigint>")
+    return lists.select(F.col("u").alias(user), F.col("o").cast(dict(events.dtypes)[ordinal]).alias(ordinal), F.col("h").alias("history_item_ids"))
+
+
+def _replay(limit: int):
+    """(u, o, h) of the asking rows of a stream sorted by user, time and kind."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        user, visible = None, []  # the last ``limit`` of (ordinal, place in the stream, item)
+        n = 0
+        for batch in batches:
+            users, kinds, ordinals, items = (batch.column(c).to_pylist() for c in ("u", "kind", "o", "i"))
+            rows, flat, offsets = [], [], [0]
+            for at, (u, kind, o, i) in enumerate(zip(users, kinds, ordinals, items, strict=True)):
+                if u != user:
+                    user, visible = u, []
+                n += 1
+                if kind:
+                    if len(visible) < limit or (o, n) > visible[0][:2]:
+                        bisect.insort(visible, (o, n, i))
+                        del visible[:-limit]
+                else:
+                    rows.append(at)
+                    flat.extend(v[2] for v in visible)
+                    offsets.append(len(flat))
+            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int64()))
+            take = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("u").take(take), batch.column("o").take(take), lists], names=["u", "o", "h"])
+
+    return run
 
 
 def history_drift(a: DataFrame, b: DataFrame, key: list[str]) -> DataFrame:

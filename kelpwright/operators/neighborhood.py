@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,26 +32,104 @@ def residuals(ratings: DataFrame, variant: str, user: str = "user_id", item: str
     return predict_biases(ratings, model, user, item).select(user, item, "rating", (F.col("rating") - F.col("raw")).alias("residual")), model
 
 
+#: Entities of a shared key that travel in one list, rows of an entity beyond
+#: which its sums are taken in several tasks, and list entries summed at a time.
+LIST, SPLIT_ROWS, SUM_ENTRIES = 2_000, 50_000, 2_000_000
+
+
+def _corated(k: int | None, min_support: int, shrinkage: float):
+    """Sums over the partners of rows (a, ra, ids, rs) sorted by a.
+
+    With ``k`` the k most similar of each entity, else (a, b, dot, support).
+    """
+
+    def close(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        b, value, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+        b, of = np.unique(b, return_inverse=True)
+        return b, np.bincount(of, value, len(b)), np.bincount(of, n, len(b)).astype(np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        who, parts, size, out = None, [], 0, []
+
+        def done() -> None:
+            b, value, n = close(parts)
+            if k is not None:
+                similarity = np.round(value * n / (n + shrinkage), 12)
+                good = np.flatnonzero((value > 0) & (n >= min_support) & (similarity > 0) & (b != who))
+                good = good[np.lexsort((b[good], -similarity[good]))[:k]]
+                b, value, n = b[good], similarity[good], n[good]
+            out.append((np.full(len(b), who, b.dtype), b, value, n))
+
+        def batch_of() -> pa.RecordBatch:
+            a, b, value, n = (np.concatenate(x) for x in zip(*out, strict=True))
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(value, pa.float64()), pa.array(n, pa.int64())], names=["a", "b", "value", "support"])
+
+        for batch in batches:
+            own, scale = batch.column("a").to_numpy(zero_copy_only=False), batch.column("ra").to_numpy()
+            length = pc.list_value_length(batch.column("ids")).to_numpy()
+            ids, value = batch.column("ids").flatten().to_numpy(zero_copy_only=False), batch.column("rs").flatten().to_numpy() * np.repeat(scale, length)
+            upto = np.concatenate([[0], np.cumsum(length)])
+            cuts = np.concatenate([[0], np.flatnonzero(own[1:] != own[:-1]) + 1, [len(own)]]) if len(own) else np.zeros(1, int)
+            for x, z in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                if parts and own[x] != who:
+                    done()
+                    parts, size = [], 0
+                who = own[x]
+                part = slice(upto[x], upto[z])
+                parts.append((ids[part], value[part], np.ones(upto[z] - upto[x])))
+                size += upto[z] - upto[x]
+                if size > SUM_ENTRIES:
+                    parts, size = [close(parts)], 0
+            if len(out) > 4096:
+                yield batch_of()
+                out = []
+        if parts:
+            done()
+        if out:
+            yield batch_of()
+
+    return run
+
+
 def top_similar(res: DataFrame, entity: str, shared: str, k: int, min_support: int, shrinkage: float) -> DataFrame:
     """(entity, neighbor, similarity, support): the k most similar entities.
 
     Cosine over whole residual vectors; only pairs that share ``min_support`` of
     ``shared`` and whose cosine is positive; shrunk by support, rounded to 12
     decimals so that noise about 0 is none; ties by id.
-    Each pair is formed once, from the smaller id, and mirrored after the sums.
+
+    The entities of a shared key travel in lists of about LIST, each to the
+    others: all partners of an entity meet in its task, which sums them up and
+    hands on its k best alone.  A shared key of any size is many lists, and an
+    entity of more than SPLIT_ROWS rows has several tasks, whose sums are added.
     """
-    norms = res.groupBy(entity).agg(F.sqrt(F.sum(F.col("residual") * F.col("residual"))).alias("norm")).where("norm > 0")
-    unit = res.join(norms, entity).select(F.col(shared).alias("s"), F.col(entity).alias("e"), (F.col("residual") / F.col("norm")).alias("r"))
-    zero = res.join(norms, entity, "left_anti").select(F.col(shared).alias("s"), F.col(entity).alias("e"), F.lit(0.0).alias("r"))
-    unit = unit.unionByName(zero)
-    a, b = unit.select("s", F.col("e").alias("a"), F.col("r").alias("ra")), unit.select("s", F.col("e").alias("b"), F.col("r").alias("rb"))
-    pairs = a.join(b, "s").where("a < b").groupBy("a", "b").agg(F.sum(F.col("ra") * F.col("rb")).alias("cosine"), F.count(F.lit(1)).alias("support"))
-    pairs = pairs.where((F.col("cosine") > 0) & (F.col("support") >= min_support))
-    pairs = pairs.withColumn("similarity", F.round(shrunk(F.col("cosine"), F.col("support"), shrinkage), 12)).where("similarity > 0")
-    both = pairs.select(F.col("a").alias("entity"), F.col("b").alias("neighbor"), "similarity", "support").unionByName(
-        pairs.select(F.col("b").alias("entity"), F.col("a").alias("neighbor"), "similarity", "support")
-    )
-    return top_per_user(both, k, "entity", "neighbor", "similarity").drop("rank")
+    space = Workspace(res.sparkSession, "similar_entities")
+    kind = dict(res.dtypes)[entity]
+    rows = res.where(F.col(entity).isNotNull() & F.col(shared).isNotNull()).select(F.col(shared).alias("s"), F.col(entity).alias("e"), F.col("residual").cast("double").alias("r"))
+    norms = space.write(rows.groupBy("e").agg(F.sqrt(F.sum(F.col("r") * F.col("r"))).alias("norm"), F.count(F.lit(1)).alias("n")), "norms")
+    unit = rows.join(norms.select("e", "norm"), "e").select("s", "e", F.when(F.col("norm") > 0, F.col("r") / F.col("norm")).otherwise(0.0).alias("r"))
+    large = space.write(rows.groupBy("s").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > LIST).select("s", F.ceil(F.col("m") / LIST).alias("lists")), "large")
+    if not large.isEmpty():
+        unit = unit.join(large, "s", "left").withColumn("list", F.coalesce(F.pmod(F.xxhash64("e"), F.col("lists")), F.lit(0))).drop("lists")
+    else:
+        unit = unit.withColumn("list", F.lit(0).cast("long"))
+    lists = unit.groupBy("s", "list").agg(F.collect_list("e").alias("ids"), F.collect_list("r").alias("rs"))
+    if large.isEmpty():
+        met = lists.select(F.explode(F.arrays_zip(F.col("ids").alias("a"), F.col("rs").alias("ra"))).alias("own"), "ids", "rs").select("own.a", "own.ra", "ids", "rs")
+    else:
+        met = lists.join(unit.select("s", F.col("e").alias("a"), F.col("r").alias("ra")), "s").select("a", "ra", "ids", "rs")
+    busy = norms.where(F.col("n") > SPLIT_ROWS).select(F.col("e").alias("a"), F.ceil(F.col("n") / SPLIT_ROWS).alias("tasks"))
+    schema = f"a {kind}, b {kind}, value double, support bigint"
+    if busy.isEmpty():
+        near = met.repartition("a").sortWithinPartitions("a").mapInArrow(_corated(k, min_support, shrinkage), schema)
+        return near.select(F.col("a").alias("entity"), F.col("b").alias("neighbor"), F.col("value").alias("similarity"), "support")
+    task = F.coalesce(F.pmod(F.xxhash64("ids"), F.col("tasks")), F.lit(0))
+    met = met.join(busy, "a", "left").select("a", "ra", "ids", "rs", task.alias("task")).repartition("a", "task").sortWithinPartitions("a").drop("task")
+    sums = met.mapInArrow(_corated(None, min_support, shrinkage), schema).groupBy("a", "b").agg(F.sum("value").alias("cosine"), F.sum("support").alias("support"))
+    sums = sums.where((F.col("cosine") > 0) & (F.col("support") >= min_support) & (F.col("a") != F.col("b")))
+    near = sums.withColumn("similarity", F.round(shrunk(F.col("cosine"), F.col("support"), shrinkage), 12)).where("similarity > 0")
+    near = near.select(F.col("a").alias("entity"), F.col("b").alias("neighbor"), "similarity", "support")
+    return top_per_user(near, k, "entity", "neighbor", "similarity").drop("rank")
 
 
 @dataclass
