@@ -163,8 +163,8 @@ class NeighborhoodCF:
             return predict_biases(pairs, self.model, self.user, self.item).withColumnRenamed("raw", "base")
         return pairs.join(self.means, self.user, "left").withColumnRenamed("mean", "base")
 
-    def _evidence(self, users: DataFrame | None = None, pairs: DataFrame | None = None) -> DataFrame:
-        """(user, item, num, den, neighbors) of the pairs that have neighbors.
+    def _neighbors(self, users: DataFrame | None = None, pairs: DataFrame | None = None) -> DataFrame:
+        """(user, item, similarity, residual): the rated neighbors of pairs.
 
         With ``pairs`` only those, else all that the users' neighbors reach.
         """
@@ -181,9 +181,14 @@ class NeighborhoodCF:
         elif pairs is not None:
             rows = pairs.join(near, F.col(i) == F.col("e")).join(res, (F.col("m") == F.col("ri")) & (F.col(u) == F.col("ru")))
         else:
-            rows = users.join(res, F.col(u) == F.col("ru")).join(near, F.col("m") == F.col("ri")).withColumn(i, F.col("e"))
-        w = F.col("similarity")
-        return rows.groupBy(u, i).agg(F.sum(w * F.col("residual")).alias("num"), F.sum(F.abs(w)).alias("den"), F.count(F.lit(1)).alias("neighbors"))
+            # A user's rows together first: where the neighbors are broadcast, the sums need no other exchange.
+            rows = users.join(res, F.col(u) == F.col("ru")).repartition(u).join(near, F.col("m") == F.col("ri")).withColumn(i, F.col("e"))
+        return rows.select(u, i, "similarity", "residual")
+
+    def _evidence(self, pairs: DataFrame) -> DataFrame:
+        """(user, item, num, den, neighbors) of the pairs that have neighbors."""
+        u, i, w = self.user, self.item, F.col("similarity")
+        return self._neighbors(pairs=pairs).groupBy(u, i).agg(F.sum(w * F.col("residual")).alias("num"), F.sum(F.abs(w)).alias("den"), F.count(F.lit(1)).alias("neighbors"))
 
     def _supported(self):
         return F.coalesce((F.col("neighbors") >= self.min_neighbors) & (F.col("den") > 0) & F.col("base").isNotNull(), F.lit(False))
@@ -201,24 +206,39 @@ class NeighborhoodCF:
         """(user, rank, item, score, evidence, used_fallback): n unseen items each.
 
         Items with enough neighbors rank by the unclipped estimate, all others
-        by Bayesian popularity; of the latter the n best unseen ones suffice.
+        by Bayesian popularity.  Popularity lists are made for those users only
+        who have fewer than n estimates above the best popularity.
         ``secondary`` breaks equal scores by popularity, then evidence.
         """
         from kelpwright.operators.baselines import popular_unseen
 
         u, i = self.user, self.item
+        space = Workspace(self.res.sparkSession, "lists")
+        tie = ("fallback", "evidence") if secondary else ()
         who = users.select(u).distinct()
-        seen = self.res.select(u, i)
-        reached = self._evidence(users=who).join(seen, [u, i], "left_anti")
-        good = self._base(reached).where(self._supported()).select(u, i, (F.col("base") + F.col("num") / F.col("den")).alias("score"), F.col("den").alias("evidence"), F.lit(False).alias("used_fallback"))
-        # Of the popularity order, items scored above must be skipped as well.
-        taken = seen.unionByName(good.select(u, i))
-        for_all = taken.join(who, u, "left_semi").unionByName(who.join(taken, u, "left_anti").withColumn(i, F.lit(None)))
+        w, seen = F.col("similarity"), self.res.select(u, i)
+
+        def estimated(asked: DataFrame) -> DataFrame:
+            """(user, item, score, evidence) of unseen items with enough neighbors."""
+            own = seen.join(asked, u, "left_semi").select(u, i, F.lit(None).cast("double").alias("similarity"), F.lit(None).cast("double").alias("residual"))
+            sums = (F.sum(w * F.col("residual")).alias("num"), F.sum(F.abs(w)).alias("den"), F.count(w).alias("neighbors"), F.bool_or(w.isNull()).alias("seen"))
+            reached = self._neighbors(users=asked).unionByName(own).groupBy(u, i).agg(*sums).where("NOT seen")
+            based = self._base(reached).where(self._supported())
+            return based.select(u, i, F.round(F.col("base") + F.col("num") / F.col("den"), 9).alias("score"), F.col("den").alias("evidence"))
+
+        def ranked(rows: DataFrame) -> DataFrame:
+            return top_per_user(rows.join(self.popularity, i, "left"), n, u, i, "score", tie)
+
+        best = space.write(ranked(estimated(who)).select(u, i, "score", "evidence", F.lit(False).alias("used_fallback")), "best")
+        top = self.popularity.agg(F.round(F.max("fallback"), 9)).first()[0]
+        full = best.where(F.col("score") > F.lit(top)).groupBy(u).count().where(F.col("count") >= n) if top is not None else best.select(u)
+        short = space.write(who.join(full.select(u), u, "left_anti"), "short")
+        # Of the popularity order, items with an estimate must be skipped as well.
+        taken = seen.join(short, u, "left_semi").unionByName(estimated(short).select(u, i))
+        for_all = taken.unionByName(short.join(seen.select(u).distinct(), u, "left_anti").withColumn(i, F.lit(None)))
         rest = popular_unseen(self.popularity, for_all, n, u, i, "fallback").join(self.popularity, i)
-        rest = rest.select(u, i, F.col("fallback").alias("score"), F.lit(0.0).alias("evidence"), F.lit(True).alias("used_fallback"))
-        every = good.unionByName(rest).withColumn("score", F.round("score", 9)).join(self.popularity, i, "left")
-        tie = ("fallback", "evidence") if secondary else ()
-        return top_per_user(every, n, u, i, "score", tie).select(u, "rank", i, "score", "evidence", "used_fallback")
+        rest = rest.select(u, i, F.round("fallback", 9).alias("score"), F.lit(0.0).alias("evidence"), F.lit(True).alias("used_fallback"))
+        return ranked(best.unionByName(rest)).select(u, "rank", i, "score", "evidence", "used_fallback")
 
 
 def explain(model: NeighborhoodCF, pairs: DataFrame, n: int = 3) -> DataFrame:
