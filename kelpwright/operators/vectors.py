@@ -6,16 +6,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kelpwright.session import shuffle_width
+from kelpwright.storage import Workspace
+
 #: Queries of a block: what each task holds beside a batch of rows.
 QUERY_BLOCK = 2048
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    rows = column.to_pylist()
-    return np.array(rows, np.float64) if rows else np.zeros((0, 1))
+def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
 
 def _prepared(v: np.ndarray, metric: str) -> np.ndarray:
@@ -25,6 +31,61 @@ def _prepared(v: np.ndarray, metric: str) -> np.ndarray:
     return v / np.where(size > 0, size, 1)
 
 
+class _Asked:
+    """A block of queries and the k best rows of each so far."""
+
+    def __init__(self, t: pa.Table, k: int, metric: str, exclude_self: bool) -> None:
+        self.ids, self.k, self.metric, self.exclude_self = t["key"].to_numpy(), k, metric, exclude_self
+        self.v = _prepared(_matrix(t["v"]), metric)
+        self.group = np.array(t["grp"].to_pylist(), object) if "grp" in t.column_names else None
+        self.time = t["at"].to_numpy() if "at" in t.column_names else None
+        self.score, self.near = np.full((len(self.ids), 0), -np.inf), np.zeros((len(self.ids), 0), self.ids.dtype)
+
+    def meet(self, b: pa.RecordBatch) -> None:
+        own, v, q = b.column("key").to_numpy(zero_copy_only=False), _prepared(_matrix(b.column("v")), self.metric), self.v
+        score = q @ v.T if self.metric != "euclidean" else -np.sqrt(np.maximum(0, (q**2).sum(1)[:, None] - 2 * q @ v.T + (v**2).sum(1)))
+        score = np.round(score, 9)
+        if self.exclude_self:
+            score[self.ids[:, None] == own] = -np.inf
+        if self.group is not None:
+            score[self.group[:, None] != np.array(b.column("grp").to_pylist(), object)] = -np.inf
+        if self.time is not None:
+            score[~(b.column("at").to_numpy(zero_copy_only=False)[None, :] <= self.time[:, None])] = -np.inf
+        if score.shape[1] > self.k:  # the k best of the batch, and what equals the last of them
+            least = np.partition(score, -self.k, axis=1)[:, -self.k, None]
+            hold = (score >= least).any(0)
+            score, own = score[:, hold], own[hold]
+        score, near = np.concatenate([self.score, score], 1), np.concatenate([self.near, np.broadcast_to(own, score.shape)], 1)
+        order = np.lexsort((near, -score), axis=1)[:, : self.k]
+        self.score, self.near = np.take_along_axis(score, order, 1), np.take_along_axis(near, order, 1)
+
+    def batch(self) -> pa.RecordBatch:
+        x, y = np.nonzero(np.isfinite(self.score))
+        return pa.RecordBatch.from_arrays([pa.array(self.ids[x]), pa.array(self.near[x, y]), pa.array(self.score[x, y])], names=["query", "neighbor", "score"])
+
+
+def _scan(k: int, metric: str, exclude_self: bool):
+    """The best of (asked, rows) pairs of files, a block of queries at a time."""
+
+    def table(path: str):
+        fs, inner = FileSystem.from_uri(path)
+        return pq.ParquetFile(inner, filesystem=fs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for asked, rows in zip(b.column("asked").to_pylist(), b.column("rows").to_pylist(), strict=True):
+                queries = table(asked)
+                for g in range(queries.num_row_groups):
+                    block = queries.read_row_group(g)
+                    for at in range(0, len(block), QUERY_BLOCK):
+                        best = _Asked(block.slice(at, QUERY_BLOCK).combine_chunks(), k, metric, exclude_self)
+                        for held in table(rows).iter_batches(batch_size=4096):
+                            best.meet(held)
+                        yield best.batch()
+
+    return run
+
+
 def exact_top_k(
     queries: DataFrame, rows: DataFrame, k: int, metric: str = "cosine", key: str = "idx", vector: str = "v", group: str | None = None,
     time: str | None = None, eligible: str | None = None, exclude_self: bool = True,
@@ -33,63 +94,30 @@ def exact_top_k(
 
     ``metric``: cosine, dot or euclidean (score is minus the distance).
     ``group``: only rows of the query's group.  ``time``/``eligible``: only rows
-    whose ``eligible`` value is at most the query's ``time``.  Null vectors take
-    no part.  Scores are compared after rounding to 9 decimals.
+    whose ``eligible`` value is at most the query's ``time``.  Null vectors and
+    null ids take no part.  Scores are compared after rounding to 9 decimals.
 
-    Queries, a stated set, go to the tasks in blocks of QUERY_BLOCK (bounded);
-    rows are never shuffled: each task keeps the k best of its rows by matrix
-    products and only those meet in the final window.
+    Both sides are written once in parts; a task meets one part of the queries
+    with one part of the rows by blocks of matrix products and keeps the k best
+    of each query, and only those meet in the final window.  Neither side is
+    broadcast, collected or held whole.
     """
-    asked = queries.where(F.col(vector).isNotNull()).select(key, vector, *(c for c in (group, time) if c))
-    held = rows.where(F.col(vector).isNotNull()).select(key, vector, *(c for c in (group, eligible) if c))
-    kind = dict(rows.dtypes)[key]
-    out = None
-    block: list = []
-
-    def search(block: list) -> DataFrame:
-        ids = np.array([r[key] for r in block])
-        q = _prepared(np.array([r[vector] for r in block], np.float64), metric)
-        groups = np.array([r[group] for r in block], object) if group else None
-        times = np.array([r[time] for r in block]) if time else None
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            best_s = np.full((len(ids), 0), -np.inf)
-            best_i = np.zeros((len(ids), 0), np.int64)
-            for b in batches:
-                for at in range(0, b.num_rows, 4096):
-                    part = b.slice(at, 4096)
-                    v = _prepared(_matrix(part.column(vector)), metric)
-                    own = part.column(key).to_numpy(zero_copy_only=False)
-                    if metric == "euclidean":
-                        score = -np.sqrt(np.maximum(0, ((q**2).sum(1)[:, None] - 2 * q @ v.T + (v**2).sum(1))))
-                    else:
-                        score = q @ v.T
-                    score = np.round(score, 9)
-                    ok = np.ones(score.shape, bool)
-                    if exclude_self:
-                        ok &= ids[:, None] != own
-                    if groups is not None:
-                        ok &= groups[:, None] == np.array(part.column(group).to_pylist(), object)
-                    if times is not None:
-                        ok &= part.column(eligible).to_numpy(zero_copy_only=False)[None, :] <= times[:, None]
-                    best_s = np.concatenate([best_s, np.where(ok, score, -np.inf)], 1)
-                    best_i = np.concatenate([best_i, np.broadcast_to(own, score.shape)], 1)
-                    order = np.lexsort((best_i, -best_s), axis=1)[:, :k]
-                    best_s, best_i = np.take_along_axis(best_s, order, 1), np.take_along_axis(best_i, order, 1)
-            x, y = np.nonzero(np.isfinite(best_s))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[x]), pa.array(best_i[x, y]), pa.array(best_s[x, y])], names=["query", "neighbor", "score"])
-
-        return held.mapInArrow(run, f"query {kind}, neighbor {kind}, score double")
-
-    for r in asked.toLocalIterator():
-        block.append(r)
-        if len(block) == QUERY_BLOCK:
-            out, block = (search(block) if out is None else out.unionByName(search(block))), []
-    if block or out is None:
-        last = search(block) if block else held.select(F.col(key).alias("query"), F.col(key).alias("neighbor"), F.lit(0.0).alias("score")).limit(0)
-        out = last if out is None else out.unionByName(last)
+    space, spark = Workspace(rows.sparkSession, "exact"), rows.sparkSession
+    kinds = {key: dict(rows.dtypes)[key]}
+
+    def written(df: DataFrame, at: str | None, name: str) -> list[str]:
+        columns = [F.col(key).alias("key"), F.col(vector).alias("v"), *([F.col(group).alias("grp")] if group else []), *([F.col(at).alias("at")] if at else [])]
+        usable = df.where(F.col(vector).isNotNull() & F.col(key).isNotNull()).select(*columns)
+        return space.write(usable, name, **{"parquet.block.row.count.limit": 8 * QUERY_BLOCK}).inputFiles()
+
+    asked, held = written(queries, time, "asked"), written(rows, eligible, "rows")
+    paths = lambda files, name: spark.createDataFrame([(f,) for f in sorted(files)], f"{name} string")
+    # Every part of the queries with every part of the rows: a list of names.
+    tasks = paths(asked, "asked").crossJoin(paths(held, "rows"))
+    tasks = tasks.repartition(max(1, min(len(asked) * len(held), 4 * shuffle_width(spark))), "asked", "rows")
+    met = tasks.mapInArrow(_scan(k, metric, exclude_self), f"query {kinds[key]}, neighbor {kinds[key]}, score double")
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "neighbor"))
-    return out.withColumn("rank", rank).where(F.col("rank") <= k)
+    return met.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def padded_lists(ranked: DataFrame, queries: DataFrame, key: str, k: int, missing: int = -1) -> DataFrame:

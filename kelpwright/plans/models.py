@@ -189,23 +189,51 @@ def m21(spark, d):
 _POOL = "f AS (SELECT item_idx, min(CAST(factors AS DOUBLE[])) AS v FROM item_factors WHERE factors IS NOT NULL AND NOT list_bool_or(list_transform(factors, lambda x: isnan(x))) GROUP BY 1)"
 
 
+_BOTH = with_(_POOL, "u AS (SELECT user_idx, min(CAST(factors AS DOUBLE[])) AS v FROM user_factors WHERE factors IS NOT NULL AND NOT list_bool_or(list_transform(factors, lambda x: isnan(x))) GROUP BY 1)")
+
+
+def _given_factors(spark, d):
+    clean = lambda t, c: table(spark, d, t).where(F.col("factors").isNotNull() & ~F.exists("factors", F.isnan)).groupBy(F.col(c).alias("idx")).agg(F.min("factors").alias("f"))
+    return factor.FactorModel(clean("user_factors", "user_idx"), clean("item_factors", "item_idx"), user="user_idx", item="item_idx")
+
+
 @query(
     "x11_factor_predict",
-    with_(_POOL, "u AS (SELECT user_idx, min(CAST(factors AS DOUBLE[])) AS v FROM user_factors WHERE factors IS NOT NULL AND NOT list_bool_or(list_transform(factors, lambda x: isnan(x))) GROUP BY 1)")
-    + "SELECT u.user_idx, f.item_idx, round(coalesce(list_dot_product(u.v, f.v), 0), 4) AS prediction FROM u JOIN f ON f.item_idx = u.user_idx",
+    _BOTH + """SELECT r.user_idx, r.item_idx, round(coalesce(list_dot_product(u.v, f.v), 0), 4) AS prediction
+    FROM (SELECT DISTINCT user_id AS user_idx, movie_id % (SELECT max(item_idx) + 1 FROM f) AS item_idx FROM recommendations WHERE user_id IS NOT NULL) r LEFT JOIN u USING (user_idx) LEFT JOIN f USING (item_idx)""",
 )
 def x11(spark, d):
-    clean = lambda t, c: table(spark, d, t).where(F.col("factors").isNotNull() & ~F.exists("factors", F.isnan)).groupBy(F.col(c).alias("idx")).agg(F.min("factors").alias("f"))
-    model = factor.FactorModel(clean("user_factors", "user_idx"), clean("item_factors", "item_idx"), user="user_idx", item="item_idx")
-    pairs = model.users.select(F.col("idx").alias("user_idx")).join(model.items.select(F.col("idx").alias("item_idx")), F.col("user_idx") == F.col("item_idx"))
+    model = _given_factors(spark, d)
+    n = model.items.agg((F.max("idx") + 1).alias("n"))
+    pairs = table(spark, d, "recommendations").where("user_id IS NOT NULL").crossJoin(F.broadcast(n)).select(F.col("user_id").alias("user_idx"), (F.col("movie_id") % F.col("n")).alias("item_idx")).distinct()
     return model.predict(pairs).select("user_idx", "item_idx", F.round("prediction", 4).alias("prediction"))
 
 
-@query("x15_mean_pooled", with_(_POOL, "h AS (SELECT request_id, min(history_item_ids) AS h FROM validation WHERE history_item_ids IS NOT NULL AND len(history_item_ids) > 0 GROUP BY 1)", "x AS (SELECT request_id, unnest(h) % 1000 AS item_idx FROM h)") + "SELECT request_id, round(avg(v[1]), 5) AS first, round(avg(v[50]), 5) AS last FROM x JOIN f USING (item_idx) GROUP BY 1")
+@query(
+    "k08_catalog_lists",
+    _BOTH + """, seen AS (SELECT DISTINCT user_id AS user_idx, movie_id % (SELECT max(item_idx) + 1 FROM f) AS item_idx FROM recommendations),
+    s AS (SELECT u.user_idx, f.item_idx, round(list_dot_product(u.v, f.v), 9) AS score FROM u CROSS JOIN f WHERE u.user_idx % 100 = 0 AND NOT EXISTS (SELECT 1 FROM seen WHERE seen.user_idx = u.user_idx AND seen.item_idx = f.item_idx))
+    SELECT user_idx, item_idx, CAST(row_number() OVER (PARTITION BY user_idx ORDER BY score DESC, item_idx) AS INTEGER) AS rank, round(score, 5) AS score FROM s QUALIFY rank <= 10""",
+)
+def k08_lists(spark, d):
+    """The whole catalog ranked by given factors for the stated users, seen items left out."""
+    model = _given_factors(spark, d)
+    n = model.items.agg((F.max("idx") + 1).alias("n"))
+    seen = table(spark, d, "recommendations").where("user_id IS NOT NULL").crossJoin(F.broadcast(n)).select(F.col("user_id").alias("user_idx"), (F.col("movie_id") % F.col("n")).alias("item_idx"))
+    model.users = model.users.where("idx % 100 = 0")
+    return model.recommend_catalog(seen).select("user_idx", "item_idx", "rank", F.round("score", 5).alias("score"))
+
+
+@query(
+    "x15_mean_pooled",
+    with_(_POOL, "h AS (SELECT request_id, min(history_item_ids) AS h FROM validation WHERE history_item_ids IS NOT NULL AND len(history_item_ids) > 0 GROUP BY 1)", "x AS (SELECT request_id, unnest(h) % (SELECT max(item_idx) + 1 FROM f) AS item_idx FROM h)")
+    + "SELECT request_id, round(avg(v[1]), 5) AS first, round(avg(v[50]), 5) AS last FROM x JOIN f USING (item_idx) GROUP BY 1",
+)
 def x15(spark, d):
-    h = table(spark, d, "validation").where("history_item_ids IS NOT NULL AND size(history_item_ids) > 0").groupBy("request_id").agg(F.min("history_item_ids").alias("h"))
-    h = h.select("request_id", F.transform("h", lambda x: (x % 1000).cast("int")).alias("history_item_ids"))
     v = table(spark, d, "item_factors").where(F.col("factors").isNotNull() & ~F.exists("factors", F.isnan)).groupBy(F.col("item_idx").alias("item_id")).agg(F.min("factors").alias("v"))
+    n = v.agg((F.max("item_id") + 1).alias("n"))
+    h = table(spark, d, "validation").where("history_item_ids IS NOT NULL AND size(history_item_ids) > 0").groupBy("request_id").agg(F.min("history_item_ids").alias("h"))
+    h = h.crossJoin(F.broadcast(n)).select("request_id", F.transform("h", lambda x: (x % F.col("n")).cast("int")).alias("history_item_ids"))
     pooled = towers.mean_pooled(h, v, 50)
     return pooled.select("request_id", F.round(F.col("v")[0], 5).alias("first"), F.round(F.col("v")[49], 5).alias("last"))
 

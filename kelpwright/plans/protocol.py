@@ -41,12 +41,21 @@ def t04(spark, d):
     return split.time_window_split(rows, [("train", 1690000000000), ("validation", 1700000000000)], "test", "time_ms").select("request_id", "split")
 
 
-@query("h04_noncausal_histories", "SELECT count(*) AS checked, count(*) FILTER (latest >= time_ms) AS noncausal FROM (SELECT request_id, min(time_ms) AS time_ms, max(seen) AS latest FROM (SELECT v.request_id, v.time_ms, c.seen FROM (SELECT DISTINCT request_id, time_ms, item_id FROM validation WHERE time_ms IS NOT NULL) v LEFT JOIN (SELECT item_id, min(first_observed_ms) AS seen FROM candidates GROUP BY 1) c USING (item_id)) GROUP BY 1)")
+@query(
+    "h04_noncausal_histories",
+    """WITH r AS (SELECT DISTINCT request_id, time_ms, history_item_ids AS h FROM validation WHERE time_ms IS NOT NULL AND len(history_item_ids) > 0),
+    seen AS (SELECT item_id, min(first_observed_ms) AS seen FROM candidates WHERE item_id IS NOT NULL GROUP BY 1),
+    x AS (SELECT request_id, time_ms, coalesce(seen >= time_ms, true) AS late FROM (SELECT request_id, time_ms, unnest(h) AS item_id FROM r) LEFT JOIN seen USING (item_id) WHERE item_id IS NOT NULL)
+    SELECT request_id, count(*) AS n_items, count(*) FILTER (late) AS n_unavailable FROM x GROUP BY request_id HAVING count(*) FILTER (late) > 0""",
+)
 def h04(spark, d):
-    seen = table(spark, d, "candidates").groupBy("item_id").agg(F.min("first_observed_ms").alias("seen"))
-    rows = table(spark, d, "validation").where("time_ms IS NOT NULL").select("request_id", "time_ms", "item_id").distinct().join(seen, "item_id", "left")
-    per = rows.groupBy("request_id").agg(F.min("time_ms").alias("time_ms"), F.max("seen").alias("latest"))
-    return per.agg(F.count(F.lit(1)).alias("checked"), F.count_if(F.col("latest") >= F.col("time_ms")).alias("noncausal"))
+    """Requests to reject: history items that were not on record before the request."""
+    seen = table(spark, d, "candidates").where("item_id IS NOT NULL").groupBy("item_id").agg(F.min("first_observed_ms").alias("seen"))
+    rows = table(spark, d, "validation").where("time_ms IS NOT NULL AND size(history_item_ids) > 0").select("request_id", "time_ms", "history_item_ids").distinct()
+    items = rows.select("request_id", "time_ms", F.explode("history_item_ids").alias("item_id")).where("item_id IS NOT NULL").join(seen, "item_id", "left")
+    late = F.coalesce(F.col("seen") >= F.col("time_ms"), F.lit(True))
+    per = items.groupBy("request_id").agg(F.count(F.lit(1)).alias("n_items"), F.count_if(late).alias("n_unavailable"))
+    return per.where("n_unavailable > 0")
 
 
 @query(
@@ -71,10 +80,18 @@ def j02(spark, d):
     return _rounded(per_user.join(train.groupBy("user_id").agg(F.count(F.lit(1)).alias("n")), "user_id").select("user_id", "ndcg", "n"), "ndcg")
 
 
-@query("j05_seen_exclusion", with_(RATINGS, _T01) + "SELECT t.user_id, t.item_id FROM test t WHERE NOT EXISTS (SELECT 1 FROM train s WHERE s.item_id = t.item_id AND s.rating = 5)")
+@query(
+    "j05_seen_exclusion",
+    with_(RATINGS, _T01, _SIM)
+    + """SELECT DISTINCT t.user_id, near.neighbor AS item_id FROM test t JOIN near ON near.entity = t.item_id
+    WHERE NOT EXISTS (SELECT 1 FROM train s WHERE s.user_id = t.user_id AND s.item_id = near.neighbor)""",
+)
 def j05(spark, d):
-    train, test = _parts(spark, d)
-    return test.join(train.where("rating = 5").select("item_id"), "item_id", "left_anti").select("user_id", "item_id")
+    """Each user's candidates, neighbors of the items of test, without own seen items."""
+    model, train, test = _cf(spark, d)
+    near = model.neighbors.select(F.col("entity").alias("e"), F.col("neighbor").alias("item_id"))
+    reached = test.select("user_id", F.col("item_id").alias("e")).join(near, "e").select("user_id", "item_id").distinct()
+    return reached.join(train.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti")
 
 
 @query("j07_metadata_join", with_(RATINGS) + "SELECT user_id, item_id, p_name AS title, p_type AS genre FROM ratings LEFT JOIN part ON p_partkey = item_id WHERE rating = 5")
