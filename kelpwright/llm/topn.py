@@ -145,7 +145,10 @@ def top_n_per_group(
 
     schema = T.StructType([T.StructField(f.name, f.dataType, False) for f in rows.schema])
     read = _reader(n, keys, pa.schema([(f.name, f.type) for f in to_arrow_schema(schema)]))
-    best = listing.groupBy("task").applyInArrow(read, schema).repartition("g")
+    # At most n rows a group and task; the clustered copy is not needed after them.
+    best = space.write(listing.groupBy("task").applyInArrow(read, schema), "best")
+    space.drop("clustered")
+    best = best.repartition("g")
     first = F.row_number().over(Window.partitionBy("g", "item").orderBy(*order))
     pos = F.row_number().over(Window.partitionBy("g").orderBy(*order))
     return (
