@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 #: Bins of each of the two histograms that place a source's threshold.
 _BINS = 4096
-#: Cells that the driver may rake.
-MAX_CELLS = 1_000_000
+#: Cells that the driver may rake, and sources that may be listed.
+MAX_CELLS, MAX_SOURCES = 1_000_000, 10_000
 
 
 def fill_to(weight: np.ndarray, tokens: np.ndarray, cap: float, target: float) -> np.ndarray:
@@ -97,13 +97,16 @@ def mix_sources(
     listed twice the larger share counts; null shares and caps are 0.
 
     Sums are pre-aggregated per cell and per histogram bin; only these, bounded
-    by MAX_CELLS and the number of sources, reach the driver.
+    by MAX_CELLS and MAX_SOURCES (more raise an error), reach the driver.
     """
     wanted = (
         targets.where("source IS NOT NULL").groupBy("source").agg(F.max(F.struct(F.coalesce("target_share", F.lit(0.0)), F.coalesce("max_repeats", F.lit(0)))).alias("t"))
-        .orderBy("source").collect()
+        .orderBy("source").limit(MAX_SOURCES + 1).collect()
     )
+    if len(wanted) > MAX_SOURCES:
+        raise ValueError(f"more than {MAX_SOURCES} sources")
     names = [r["source"] for r in wanted]
+    place = {name: k for k, name in enumerate(names)}
     share, cap = (np.array([max(0.0, float(r["t"][i])) for r in wanted]) for i in (0, 1))
     own = sized.where(F.col("doc_id").isNotNull() & (F.col("n_tokens") > 0) & F.col("source").isin(names))
     own = own.withColumns({f"__mix_{c}": F.coalesce(F.col(c).cast("string"), F.lit("")) for c in strata})
@@ -117,7 +120,7 @@ def mix_sources(
         return nothing
 
     tokens = np.array([r["tokens"] for r in cells], float)
-    source = np.array([names.index(r["source"]) for r in cells])
+    source = np.array([place[r["source"]] for r in cells])
     goal = _targets(share, cap, np.bincount(source, tokens, len(names)), total_tokens)
     if not goal.any():
         return nothing
@@ -148,7 +151,7 @@ def mix_sources(
         binned = binned.withColumn("__bin", F.greatest("__bin", F.lit(-1))).groupBy("source", "__bin").agg(F.sum("n_tokens").alias("t")).collect()
         sums = np.zeros((len(names), _BINS + 1))
         for r in binned:
-            sums[names.index(r["source"]), r["__bin"] + 1] += r["t"]
+            sums[place[r["source"]], r["__bin"] + 1] += r["t"]
         upto = np.cumsum(sums, 1)  # tokens below each bin's lower bound, then below the end
         last = np.array([np.argmin(np.abs(row - e)) if e > 0 else 0 for row, e in zip(upto, extra, strict=True)])
         if _ == 0:
