@@ -64,6 +64,9 @@ def fit_biases(
             users = space.write(users, "users")
         gap = F.sum(F.col("rating") - mean - F.col("bu")) / (F.count(F.lit(1)) + item_reg)
         items = space.write(rows.join(users, user).groupBy(item).agg(gap.alias("bi")), f"items{k}")
+        if k:
+            space.drop(f"items{k - 1}")
+    space.drop("rows")
     return mean, users, items
 
 

@@ -178,6 +178,10 @@ def fit_als(ratings: DataFrame, k: int = 8, reg: float = 0.1, iterations: int =
     for t in range(iterations):
         users = space.write(als_half_step(triplets, user, item, items, k, reg), f"users{t}")
         items = space.write(als_half_step(triplets, item, user, users, k, reg), f"items{t}")
+        if t:
+            space.drop(f"users{t - 1}")
+            space.drop(f"items{t - 1}")
+    space.drop("triplets")
     return FactorModel(users, items, biases, user=user, item=item)
 
 
@@ -203,6 +207,9 @@ def fit_nmf(ratings: DataFrame, k: int = 8, reg: float = 0.01, iterations: int =
     for t in range(iterations):
         sides[user] = update(user, item, f"users{t}")
         sides[item] = update(item, user, f"items{t}")
+        if t:
+            space.drop(f"users{t - 1}")
+            space.drop(f"items{t - 1}")
         if t % 10 == 0 or t == iterations - 1:
             history.append(observed_rmse(triplets, FactorModel(sides[user], sides[item], user=user, item=item)))
             if len(history) > 1 and abs(history[-2] - history[-1]) < tol:

@@ -18,16 +18,18 @@ def iterative_k_core(
 ) -> DataFrame:
     """Rows that remain when thin users, then thin items, go until none does.
 
-    Each round is written to the shared folder: lineage stays one round deep and
-    only the row count reaches the driver.
+    Rounds work on (user, item, rating) alone, each written to the shared
+    folder: lineage stays one round deep and only the row count reaches the
+    driver.  The rows that stay are those of the users and items that do.
     """
     space = Workspace(df.sparkSession, "kcore")
-    kept, n, round_ = df, -1, 0
+    kept, n, round_ = df.select(user, item, "rating"), -1, 0
     while True:
         kept = space.write(_pass(_pass(kept, user, min_user, min_user_rated), item, min_item, min_item_rated), f"round{round_}")
         m = kept.count()
         if round_ > 0:
             space.drop(f"round{round_ - 1}")
         if m in (n, 0):
-            return kept
+            break
         n, round_ = m, round_ + 1
+    return df.join(kept.select(user).distinct(), user, "left_semi").join(kept.select(item).distinct(), item, "left_semi").select(df.columns)
