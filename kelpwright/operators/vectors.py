@@ -39,7 +39,8 @@ class _Asked:
         self.v = _prepared(_matrix(t["v"]), metric)
         self.group = np.array(t["grp"].to_pylist(), object) if "grp" in t.column_names else None
         self.time = t["at"].to_numpy() if "at" in t.column_names else None
-        self.score, self.near = np.full((len(self.ids), 0), -np.inf), np.zeros((len(self.ids), 0), self.ids.dtype)
+        self.row, self.near, self.score = np.zeros(0, np.int64), np.zeros(0, self.ids.dtype), np.zeros(0)
+        self.floor = np.full(len(self.ids), -np.inf)  # the k-th best so far
 
     def meet(self, b: pa.RecordBatch) -> None:
         own, v, q = b.column("key").to_numpy(zero_copy_only=False), _prepared(_matrix(b.column("v")), self.metric), self.v
@@ -52,16 +53,19 @@ class _Asked:
         if self.time is not None:
             score[~(b.column("at").to_numpy(zero_copy_only=False)[None, :] <= self.time[:, None])] = -np.inf
         if score.shape[1] > self.k:  # the k best of the batch, and what equals the last of them
-            least = np.partition(score, -self.k, axis=1)[:, -self.k, None]
-            hold = (score >= least).any(0)
-            score, own = score[:, hold], own[hold]
-        score, near = np.concatenate([self.score, score], 1), np.concatenate([self.near, np.broadcast_to(own, score.shape)], 1)
-        order = np.lexsort((near, -score), axis=1)[:, : self.k]
-        self.score, self.near = np.take_along_axis(score, order, 1), np.take_along_axis(near, order, 1)
+            self.floor = np.maximum(self.floor, np.partition(score, -self.k, axis=1)[:, -self.k])
+        x, y = np.nonzero((score >= self.floor[:, None]) & np.isfinite(score))
+        row, near, score = (np.concatenate(c) for c in ((self.row, x), (self.near, own[y]), (self.score, score[x, y])))
+        order = np.lexsort((near, -score, row))
+        row, near, score = row[order], near[order], score[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        last = place == self.k - 1
+        self.floor[row[last]] = score[last]
+        best = place < self.k
+        self.row, self.near, self.score = row[best], near[best], score[best]
 
     def batch(self) -> pa.RecordBatch:
-        x, y = np.nonzero(np.isfinite(self.score))
-        return pa.RecordBatch.from_arrays([pa.array(self.ids[x]), pa.array(self.near[x, y]), pa.array(self.score[x, y])], names=["query", "neighbor", "score"])
+        return pa.RecordBatch.from_arrays([pa.array(self.ids[self.row]), pa.array(self.near), pa.array(self.score)], names=["query", "neighbor", "score"])
 
 
 def _scan(k: int, metric: str, exclude_self: bool):

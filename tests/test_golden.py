@@ -1,6 +1,7 @@
 """Hand-checked values of the operators' rules."""
 
 import math
+import random
 
 import numpy as np
 import pytest
@@ -17,36 +18,51 @@ def rows(df, *columns):
 EVENTS = "request_id string, user_id long, item_id long, request_time_ms long, long_view boolean, is_random boolean"
 
 
-def test_prior_history_excludes_the_same_instant(spark):
-    df = spark.createDataFrame(
-        [("one", 7, 10, 1, True, False), ("two", 7, 11, 2, False, False), ("three", 7, 12, 2, True, False), ("four", 7, 13, 3, True, True), ("five", 7, 14, 3, True, False)], EVENTS
-    )
-    got = dict(rows(history.prior_histories(cleaning.positive_events(df), 2), "request_id", "history_item_ids"))
-    assert got == {"one": [], "three": [10], "five": [10, 12]}
-
-
-def test_completed_history(spark):
-    def run(items, times, available):
-        data = [(1, i, t, a, n) for n, (i, t, a) in enumerate(zip(items, times, available, strict=True))]
-        df = spark.createDataFrame(data, "user_id long, item_id long, time_ms long, available_ms long, ordinal long")
-        return [h for _, h in sorted(rows(history.completed_histories(df, 3), "ordinal", "history_item_ids"))]
-
-    assert run([5, 6, 7, 8, 9], [0, 5, 10, 10, 21], [20, 6, 10, 10, 22]) == [[], [], [6], [6], [6, 7, 8]]
-    assert run([5, 6, 7], [0, 5, 21], [20, 6, 22])[2] == [5, 6]
-
-
-def test_global_split(spark):
-    df = spark.createDataFrame([(1649376000000, False), (1649980800000, False), (1651190400000, False), (1651536000000, True), (None, False)], "t long, r boolean")
-    cuts = [("warmup", 1649980800000), ("train", 1651190400000), ("validation", 1651622400000)]
-    assert [x for (x,) in rows(split.time_window_split(df, cuts, "test", "t", "r"), "split")] == ["warmup", "train", "validation", "random", None]
-
-
-def test_exact_eligible_top_k(spark):
-    held = spark.createDataFrame([(9, [1.0, 0.0], 0), (2, [1.0, 0.0], 0), (4, [0.0, 1.0], 11), (1, [1.0, 0.0], 20)], "idx long, v array<double>, e long")
-    asked = spark.createDataFrame([(100, [1.0, 0.0], 10), (200, [0.0, 1.0], 20)], "idx long, v array<double>, t long")
-    top = vectors.exact_top_k(asked, held, 5, "dot", time="t", eligible="e")
-    got = dict(rows(vectors.padded_lists(top, asked, "idx", 5), "query", "neighbors"))
-    assert got == {100: [2, 9, -1, -1, -1], 200: [4, 1, 2, 9, -1]}
+def test_prior_history_against_brute_force(spark):
+    rng = random.Random(21)
+    data = [(f"q{k:03}", rng.randrange(4), 500 + k, rng.randrange(25), rng.random() < 0.7, rng.random() < 0.2) for k in range(160)]
+    got = dict(rows(history.prior_histories(cleaning.positive_events(spark.createDataFrame(data, EVENTS)), 6), "request_id", "history_item_ids"))
+    liked = sorted((u, t, q, i) for q, u, i, t, view, drawn in data if view and not drawn)
+    assert got == {q: [i for v, s, _, i in liked if v == u and s < t][-6:] for u, t, q, _ in liked}
+
+
+def test_completed_history_against_brute_force(spark):
+    rng = random.Random(22)
+    data, schema = [], "user_id long, item_id long, time_ms long, available_ms long, ordinal long"
+    for u in range(5):
+        times = sorted(rng.randrange(60) for _ in range(40))
+        data += [(u, rng.randrange(9), t, t + rng.choice([0, 1, 4, 30, 200]), n) for n, t in enumerate(times)]
+    got = {(u, n): h for u, n, h in rows(history.completed_histories(spark.createDataFrame(data, schema), 4), "user_id", "ordinal", "history_item_ids")}
+    assert got == {(u, n): [i for v, i, _, ready, m in sorted(data, key=lambda r: r[4]) if v == u and ready < t][-4:] for u, _, t, _, n in data}
+
+
+def test_time_windows(spark):
+    df = spark.createDataFrame([(9, False), (10, False), (19, False), (20, False), (20, True), (31, False), (None, False), (None, True)], "t long, r boolean")
+    got = rows(split.time_window_split(df, [("first", 10), ("second", 20), ("third", 31)], "rest", "t", "r"), "split")
+    assert [x for (x,) in got][:6] == ["first", "second", "second", "third", "random", "rest"]
+
+
+@pytest.mark.parametrize("metric", ["cosine", "dot", "euclidean"])
+def test_exact_top_k_against_brute_force(spark, metric):
+    rng = np.random.default_rng(23)
+    v = np.round(rng.normal(size=(60, 4)), 1)
+    v[5] = v[17]
+    since, kind = rng.integers(0, 30, 60), rng.integers(0, 3, 60)
+    held = spark.createDataFrame([(int(i), v[i].tolist(), int(since[i]), int(kind[i])) for i in range(60)] + [(70, None, 0, 0), (None, v[0].tolist(), 0, 0)], "idx long, v array<double>, e long, g int")
+    asked = held.where("idx % 7 = 0").withColumn("at", F.lit(15).cast("long"))
+    got = vectors.exact_top_k(asked, held, 3, metric, group="g", time="at", eligible="e")
+    size = np.linalg.norm(v, axis=1)
+    score = {"dot": v @ v.T, "cosine": v @ v.T / np.outer(size, size), "euclidean": -np.linalg.norm(v[:, None] - v[None], axis=2)}[metric]
+    want = {}
+    for q in range(0, 60, 7):
+        ok = [i for i in range(60) if i != q and since[i] <= 15 and kind[i] == kind[q]]
+        want[q] = sorted(ok, key=lambda i: (-round(score[q, i], 9), i))[:3]
+    lists = {}
+    for q, i, r in sorted(rows(got, "query", "neighbor", "rank"), key=lambda x: (x[0], x[2])):
+        lists.setdefault(q, []).append(i)
+    assert lists == {q: own for q, own in want.items() if own}
+    padded = dict(rows(vectors.padded_lists(got, asked.where("idx IS NOT NULL"), "idx", 3), "query", "neighbors"))
+    assert all(padded[q] == own + [-1] * (3 - len(own)) for q, own in want.items())
 
 
 def test_single_target_and_decomposition(spark):
@@ -57,25 +73,33 @@ def test_single_target_and_decomposition(spark):
     assert tuple(metrics.coverage_decomposition(df, 3).first()) == (1, 0, 2)
 
 
-def test_rank_by_counting(spark):
-    data = [(0, 2, 1.0, 4), (0, 4, 1.0, 4), (1, 2, 2.0, 2), (1, 4, 3.0, 2)]
+def test_rank_by_counting_against_sorting(spark):
+    rng = random.Random(24)
+    data = [(q, i, float(rng.randrange(4)), (q * 5) % 11) for q in range(6) for i in range(11)]
     df = spark.createDataFrame(data, "q int, i int, s double, target int")
-    assert dict(rows(metrics.rank_by_counting(df, "q", "s", "i", "target"), "q", "rank")) == {0: 2, 1: 2}
+    want = {q: sorted(range(11), key=lambda i: (-data[q * 11 + i][2], i)).index((q * 5) % 11) + 1 for q in range(6)}
+    assert dict(rows(metrics.rank_by_counting(df, "q", "s", "i", "target"), "q", "rank")) == want
 
 
-def test_user_metrics(spark):
-    recs = spark.createDataFrame([(1, 10, 1), (1, 99, 2), (1, 20, 3), (2, 99, 1), (2, 30, 2), (2, 98, 3)], "user_id int, item_id int, rank int")
-    truth = spark.createDataFrame([(1, 10), (1, 20), (2, 30), (3, 1)], "user_id int, item_id int")
-    got = {r.user_id: r for r in metrics.user_ranking_metrics(recs, truth, 3).collect()}
-    assert got[1].precision == 2 / 3 and got[1].recall == 1 and abs(got[1].ndcg - (1 + 1 / 2) / (1 + 1 / math.log2(3))) < 1e-12
-    assert abs(got[2].ndcg - 1 / math.log2(3)) < 1e-12 and got[3].hit == 0
+def test_user_metrics_against_their_definitions(spark):
+    rng = random.Random(25)
+    lists = {u: rng.sample(range(12), 5) for u in range(8)}
+    liked = {u: set(rng.sample(range(12), rng.randint(1, 7))) for u in range(9)}
+    recs = spark.createDataFrame([(u, i, r) for u, own in lists.items() for r, i in enumerate(own, 1)], "user_id int, item_id int, rank int")
+    truth = spark.createDataFrame([(u, i) for u, own in liked.items() for i in own], "user_id int, item_id int")
+    got = {r.user_id: r for r in metrics.user_ranking_metrics(recs, truth, 4).collect()}
+    for u, own in liked.items():
+        hits = [i in own for i in lists.get(u, [])[:4]]
+        gain = sum(h / math.log2(r + 1) for r, h in enumerate(hits, 1))
+        best = sum(1 / math.log2(r + 1) for r in range(1, min(4, len(own)) + 1))
+        assert (got[u].hit, got[u].precision, got[u].recall) == (int(any(hits)), sum(hits) / 4, sum(hits) / len(own))
+        assert abs(got[u].ndcg - gain / best) < 1e-12
 
 
 def test_rating_errors_clip_and_skip_unrated(spark):
-    df = spark.createDataFrame([(5, 7.0), (0, 4.0), (1, -2.0)], "a int, p double")
-    assert tuple(metrics.rating_errors(df, "a", "p").first()) == (2, 0.0, 0.0)
-    plain = metrics.rating_errors(spark.createDataFrame([(5, 4.0), (3, 3.0), (1, 3.0)], "a int, p double"), "a", "p").first()
-    assert abs(plain.rmse - math.sqrt(5 / 3)) < 1e-12 and plain.mae == 1
+    df = spark.createDataFrame([(4, 6.5), (0, 1.0), (2, 0.25), (3, 3.5)], "a int, p double")
+    r = metrics.rating_errors(df, "a", "p").first()  # errors 1 (clipped to 5), none, -1 (to 1), 0.5
+    assert (r.n, r.mae) == (3, 2.5 / 3) and abs(r.rmse - math.sqrt(2.25 / 3)) < 1e-12
 
 
 def test_cleaning_and_best_record(spark):
@@ -89,35 +113,72 @@ def test_cleaning_and_best_record(spark):
     assert (best.rating, best.is_reviewed, best.information_score, str(best.event_time)) == (5, True, 3, "2017-01-02 07:00:00")
 
 
-def test_k_core_and_encoding(spark):
-    df = spark.createDataFrame([("u1", "a", 5), ("u1", "b", 4), ("u2", "a", 5), ("u2", "b", 0), ("u3", "b", 5), ("u3", "c", 4)], "user_id string, item_id string, rating int")
-    core = kcore.iterative_k_core(df, 2, 1, 2, 1)
-    assert {r.user_id for r in core.collect()} == {"u1", "u2"} and {r.item_id for r in core.collect()} == {"a", "b"}
+def test_k_core_against_brute_force(spark):
+    rng = random.Random(26)
+    data = sorted({(rng.randrange(30), rng.randrange(30)) for _ in range(130)})
+    data = [(u, i, rng.randrange(3), f"{u}/{i}") for u, i in data]
+    kept = data
+    while True:
+        before = len(kept)
+        for side, least, rated in ((0, 3, 1), (1, 2, 1)):
+            own = {}
+            for r in kept:
+                own.setdefault(r[side], []).append(r[2] > 0)
+            kept = [r for r in kept if len(own[r[side]]) >= least and sum(own[r[side]]) >= rated]
+        if len(kept) == before:
+            break
+    df = spark.createDataFrame(data, "user_id int, item_id int, rating int, note string")
+    assert 0 < len(kept) < len(data)
+    assert sorted(rows(kcore.iterative_k_core(df, 3, 1, 2, 1), *df.columns)) == kept
     assert kcore.iterative_k_core(df.limit(0), 2, 1, 2, 1).count() == 0
-    ids = spark.createDataFrame([("z-user", 20), ("a-user", 10), ("z-user", 100), (None, None)], "u string, i int")
-    assert dict(rows(encode.encode_ids(ids, "u", "x"), "u", "x")) == {"a-user": 0, "z-user": 1}
-    assert dict(rows(encode.encode_ids(ids, "i", "x"), "i", "x")) == {10: 0, 100: 1, 20: 2}
 
 
-def test_splits(spark):
-    df = spark.createDataFrame([(u, m, 1000 + m) for u in (1, 2) for m in range(20)] + [(3, 1, 1), (3, 2, 2)], "user_id int, item_id int, t int")
-    got = split.per_user_split(df, ["t", "item_id"]).groupBy("user_id", "split").count().collect()
-    assert {(r.user_id, r.split): r["count"] for r in got} == {(u, s): n for u in (1, 2) for s, n in (("train", 16), ("validation", 2), ("test", 2))}
-    mixed = spark.createDataFrame([(0, i, r, k) for k, (i, r) in enumerate(zip([1, 2, 1, 2, 99, 1], [5, 4, 5, 4, 5, 4], strict=True))], "user_id int, item_id int, rating int, ts int")
-    parts = split.explicit_boundary_split(mixed, ["ts"], 0.5, 0.25)
-    assert not parts.where("item_id = 99 AND split != 'train'").count()
+def test_ids_are_numbered_in_the_order_of_their_text(spark):
+    df = spark.createDataFrame([(9, "mm"), (80, "b"), (80, "B"), (700, None), (None, "b")], "n int, s string")
+    assert dict(rows(encode.encode_ids(df, "n", "x"), "n", "x")) == {700: 0, 80: 1, 9: 2}
+    assert dict(rows(encode.encode_ids(df, "s", "x"), "s", "x")) == {"B": 0, "b": 1, "mm": 2}
 
 
-def test_cf_predict_and_fallback(spark):
-    data = [(1, 10, 5), (1, 20, 1), (1, 30, 4), (2, 10, 5), (2, 20, 1), (2, 40, 5), (3, 10, 1), (3, 20, 5), (3, 40, 1), (4, 10, 4), (4, 20, 2), (4, 30, 5), (4, 40, 4)]
+def test_splits(spark):
+    df = spark.createDataFrame([(u, 7 * m % 31, 100 * m) for u in (4, 5, 6) for m in range(30)] + [(9, 1, 1)], "user_id int, item_id int, t int")
+    parts = split.per_user_split(df, ["t", "item_id"])
+    got = {(r.user_id, r.split): r["count"] for r in parts.groupBy("user_id", "split").count().collect()}
+    assert {k: n for k, n in got.items() if k[0] != 9} == {(u, s): n for u in (4, 5, 6) for s, n in (("train", 24), ("validation", 3), ("test", 3))}
+    late = parts.where("user_id = 4").groupBy("split").agg(F.min("t").alias("a"), F.max("t").alias("z")).collect()
+    span = {r.split: (r.a, r.z) for r in late}
+    assert span["train"][1] < span["validation"][0] and span["validation"][1] < span["test"][0]
+    rng = random.Random(27)
+    log = [(rng.randrange(6), rng.randrange(8), rng.randrange(6), k) for k in range(80)]
+    mixed = split.explicit_boundary_split(spark.createDataFrame(log, "user_id int, item_id int, rating int, ts int"), ["ts"], 0.5, 0.25)
+    seen = {r.item_id for r in mixed.where("split = 'train'").select("item_id").distinct().collect()}
+    assert {r.item_id for r in mixed.where("split != 'train'").collect()} <= seen
+
+
+def test_cf_estimates_and_fallback(spark):
+    # Two tastes: even users like even items; user 0 has not met item 6, user 1 not item 7.
+    data = [(u, i, 5 - 3 * ((u + i) % 2) - (u * i) % 2) for u in range(6) for i in range(8) if (u, i) not in {(0, 6), (1, 7), (1, 6)}]
     df = spark.createDataFrame(data, "user_id int, item_id int, rating int")
     user = neighborhood.NeighborhoodCF("user", "mean_centered", 3, 2, 0.0).fit(df)
-    p = user.predict(spark.createDataFrame([(1, 40), (999, 40)], "user_id int, item_id int")).orderBy("user_id").collect()
-    assert not p[0].used_fallback and 4 < p[0].rating_estimate <= 5 and p[1].used_fallback
+    p = user.predict(spark.createDataFrame([(0, 6), (77, 6)], "user_id int, item_id int")).orderBy("user_id").collect()
+    assert not p[0].used_fallback and p[0].rating_estimate > 3.5 and p[1].used_fallback
     item = neighborhood.NeighborhoodCF("item", "bias_aware", 3, 2, 0.0).fit(df)
-    recs = item.recommend(spark.createDataFrame([(1,), (999,)], "user_id int"), 2).orderBy("user_id", "rank").collect()
-    assert [r.item_id for r in recs if r.user_id == 1] == [40]
-    assert [(r.used_fallback, r.evidence) for r in recs if r.user_id == 999] == [(True, 0.0)] * 2
+    recs = item.recommend(spark.createDataFrame([(0,), (1,), (77,)], "user_id int"), 2).orderBy("user_id", "rank").collect()
+    assert [r.item_id for r in recs if r.user_id == 0] == [6]
+    assert [r.item_id for r in recs if r.user_id == 1] == [7, 6]
+    assert [(r.used_fallback, r.evidence) for r in recs if r.user_id == 77] == [(True, 0.0)] * 2
+
+
+def test_similarities_of_split_lists_and_entities(spark, monkeypatch):
+    rng = np.random.default_rng(28)
+    data = [(u, i, float(rng.integers(1, 6))) for u in range(25) for i in range(30) if u == 0 or rng.random() < 0.3]
+    res, _ = neighborhood.residuals(spark.createDataFrame(data, "user_id int, item_id int, rating double"), "mean_centered")
+    whole = sorted(rows(neighborhood.top_similar(res, "item_id", "user_id", 5, 2, 3.0), "entity", "neighbor", "similarity", "support"))
+    for lists, split_rows in ((4, 10**6), (4, 3), (10**6, 3)):
+        monkeypatch.setattr(neighborhood, "LIST", lists)
+        monkeypatch.setattr(neighborhood, "SPLIT_ROWS", split_rows)
+        cut = sorted(rows(neighborhood.top_similar(res, "item_id", "user_id", 5, 2, 3.0), "entity", "neighbor", "similarity", "support"))
+        assert [(a, b, n) for a, b, _, n in cut] == [(a, b, n) for a, b, _, n in whole]
+        assert np.allclose([r[2] for r in cut], [r[2] for r in whole])
 
 
 def test_cf_similarity_against_numpy(spark):
@@ -135,19 +196,36 @@ def test_cf_similarity_against_numpy(spark):
 
 
 def test_top_n_order(spark):
-    df = spark.createDataFrame([(1, 10, 5.0, 4.1, 2), (1, 40, 5.0, 4.8, 1), (1, 20, 5.0, 4.5, 4), (1, 30, 5.0, 4.3, 3)], "user_id int, item_id int, score double, s double, e int")
-    top = baselines.top_per_user(df, 3, secondary=("s", "e"))
-    assert [i for _, i in sorted(rows(top, "rank", "item_id"))] == [40, 20, 30]
-
-
-def test_ties_statistics_and_lists(spark):
-    df = spark.createDataFrame([(u, s) for u, own in enumerate(([5.0, 5.0, 5.0], [5.0, 5.0, 4.5], [4.9, 4.8, 4.7])) for s in own], "user_id int, s double")
+    rng = random.Random(29)
+    data = [(u, i, float(rng.randrange(2)), rng.choice([None, 0.5, 1.5]), rng.randrange(2)) for u in range(4) for i in range(12)]
+    top = baselines.top_per_user(spark.createDataFrame(data, "user_id int, item_id int, score double, s double, e int"), 5, secondary=("s", "e"))
+    order = lambda r: (-r[2], -(r[3] if r[3] is not None else -9), -r[4], r[1])
+    want = {(u, n): r[1] for u in range(4) for n, r in enumerate(sorted((r for r in data if r[0] == u), key=order)[:5], 1)}
+    assert {(u, n): i for u, n, i in rows(top, "user_id", "rank", "item_id")} == want
+
+
+def test_popular_unseen_against_brute_force(spark):
+    rng = random.Random(30)
+    scores = {i: float(rng.randrange(6)) for i in range(40)}
+    seen = [(0, i) for i in range(36)] + [(1, i) for i in range(40)] + [(u, rng.randrange(45)) for u in range(2, 9) for _ in range(8)] + [(9, None)]
+    df = spark.createDataFrame(list(scores.items()), "item_id int, score double")
+    got = baselines.popular_unseen(df, spark.createDataFrame(seen, "user_id int, item_id int"), 5)
+    want = {}
+    for u in {u for u, _ in seen}:
+        own = {i for v, i in seen if v == u}
+        want |= {(u, n): i for n, i in enumerate([i for i in sorted(scores, key=lambda i: (-scores[i], i)) if i not in own][:5], 1)}
+    assert {(u, n): i for u, n, i in rows(got, "user_id", "rank", "item_id")} == want
+
+
+def test_ties_and_list_statistics(spark):
+    lists = [[2.0] * 4, [2.0, 2.0, 1.0, 1.0], [4.0, 3.0, 2.0, 1.0], [3.0, 2.0, 2.0, 2.0]]
+    df = spark.createDataFrame([(u, s) for u, own in enumerate(lists) for s in own], "user_id int, s double")
     r = metrics.tie_statistics(df, "user_id", "s").first()
-    assert (r.lists, r.fully_tied, r.largest) == (3, 1 / 3, 3) and abs(r.entries_tied - 5 / 9) < 1e-12
-    recs = spark.createDataFrame([(1, 1), (1, 3), (2, 3), (2, 4)], "user_id int, item_id int")
-    counts = spark.createDataFrame([(1, 100), (2, 50), (3, 10), (4, 1)], "item_id int, n int")
-    s = metrics.list_statistics(recs, counts, 4).first()
-    assert (s.coverage, s.long_tail) == (0.75, 0.75) and s.novelty > 0
+    assert (r.lists, r.fully_tied, r.largest) == (4, 1 / 4, 4) and abs(r.entries_tied - 11 / 16) < 1e-12
+    recs = spark.createDataFrame([(1, 7), (1, 8), (2, 8), (2, 9), (3, 8)], "user_id int, item_id int")
+    counts = spark.createDataFrame([(k, 100 - 10 * k) for k in range(10)], "item_id int, n int")
+    s = metrics.list_statistics(recs, counts, 10).first()
+    assert (s.coverage, s.long_tail) == (0.3, 1.0) and s.novelty > 0
 
 
 def test_bootstrap(spark):
