@@ -1,8 +1,8 @@
 """Matrix factorization over observed ratings.
 
-Least-squares and multiplicative updates are sums over a row's ratings, taken
-by hash aggregates with map-side combine, so a row with very many ratings is
-no burden; the small solves run in Arrow batches.  Stochastic descent runs on
+Least-squares sums over a row's ratings are matrix products in Arrow batches,
+those of a row with very many ratings in several tasks; multiplicative updates
+are hash aggregates with map-side combine.  Stochastic descent runs on
 blocks of users by items in strata whose blocks share neither, which equals
 one sequential pass in some order.
 """
@@ -35,35 +35,80 @@ def initial_factors(ids: DataFrame, k: int, seed: int, low: float = -0.17, high:
     return ids.withColumn("f", F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda j: F.lit(low) + uniform(j) * (high - low)))
 
 
-def _solve(k: int, reg: float):
+#: Ratings of a row beyond which its sums are taken in several tasks.
+SPLIT_RATINGS = 200_000
+#: Rows solved at a time.
+_SOLVE = 512
+
+
+def _normal(k: int, reg: float, packed: bool, solve: bool):
+    """Sums of outer products and of value * factors over rows sorted by idx.
+
+    In: (idx, f, value) or, if ``packed``, (idx, f) with sums already; out: the
+    ridge solutions if ``solve``, else the sums, as (idx, f).
+    """
     low = np.tril_indices(k)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids: list = []
+        sums: list[np.ndarray] = []
+
+        def out(upto: int) -> pa.RecordBatch:
+            s = np.array(sums[:upto])
+            if solve:
+                gram = np.zeros((len(s), k, k))
+                gram[:, low[0], low[1]] = s[:, : len(low[0])]
+                gram[:, low[1], low[0]] = s[:, : len(low[0])]
+                s = np.linalg.solve(gram + reg * np.eye(k), s[:, len(low[0]) :, None])[:, :, 0]
+            offsets = pa.array(np.arange(len(s) + 1, dtype=np.int32) * s.shape[1])
+            batch = pa.RecordBatch.from_arrays([pa.array(ids[:upto]), pa.ListArray.from_arrays(offsets, pa.array(s.ravel()))], names=["idx", "f"])
+            del ids[:upto], sums[:upto]
+            return batch
+
         for b in batches:
             if not b.num_rows:
                 continue
-            sums = np.stack([b.column(c).to_numpy(zero_copy_only=False) for c in range(1, b.num_columns)], 1)
-            gram = np.zeros((len(sums), k, k))
-            gram[:, low[0], low[1]] = sums[:, : len(low[0])]
-            gram[:, low[1], low[0]] = sums[:, : len(low[0])]
-            x = np.linalg.solve(gram + reg * np.eye(k), sums[:, len(low[0]) :, None])[:, :, 0]
-            offsets = pa.array(np.arange(len(x) + 1, dtype=np.int32) * k)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(offsets, pa.array(x.ravel()))], names=["idx", "f"])
+            own = b.column("idx").to_numpy(zero_copy_only=False)
+            f = b.column("f").flatten().to_numpy(zero_copy_only=False).reshape(len(own), -1)
+            value = None if packed else b.column("value").to_numpy()
+            cuts = np.concatenate([[0], np.flatnonzero(own[1:] != own[:-1]) + 1, [len(own)]])
+            for x, z in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                part = f[x:z]
+                new = part.sum(0) if packed else np.concatenate([(part.T @ part)[low], value[x:z] @ part])
+                if ids and ids[-1] == own[x]:
+                    sums[-1] = sums[-1] + new
+                else:
+                    ids.append(own[x])
+                    sums.append(new)
+            if len(ids) > _SOLVE:
+                yield out(len(ids) - 1)  # the last row may go on
+        if ids:
+            yield out(len(ids))
 
     return run
 
 
-def als_half_step(triplets: DataFrame, own: str, other: str, factors: DataFrame, k: int, reg: float) -> DataFrame:
+def busy_rows(triplets: DataFrame, own: str, space: Workspace) -> DataFrame | None:
+    """(idx, tasks) of the rows with more than SPLIT_RATINGS ratings, or None."""
+    counts = triplets.groupBy(F.col(own).alias("idx")).count().where(F.col("count") > SPLIT_RATINGS)
+    busy = space.write(counts.select("idx", F.ceil(F.col("count") / SPLIT_RATINGS).alias("tasks")), f"busy_{own}")
+    return None if busy.isEmpty() else busy
+
+
+def als_half_step(triplets: DataFrame, own: str, other: str, factors: DataFrame, k: int, reg: float, busy: DataFrame | None = None) -> DataFrame:
     """(idx, f) of the ``own`` side: ridge solutions given the other side's.
 
     The penalty is ``reg`` whatever the number of ratings.  Rows without
-    ratings have no result.
+    ratings have no result.  Sums are taken by matrix products over a row's
+    ratings as they stream by, for ``busy`` ones in several tasks first.
     """
-    rows = triplets.join(factors.withColumnRenamed("idx", other), other)
-    f = lambda j: F.col("f")[j]
-    low = np.tril_indices(k)
-    sums = [F.sum(f(int(i)) * f(int(j))).alias(f"g{i}_{j}") for i, j in zip(*low, strict=True)] + [F.sum(f(j) * F.col("value")).alias(f"r{j}") for j in range(k)]
-    return rows.groupBy(F.col(own).alias("idx")).agg(*sums).mapInArrow(_solve(k, reg), f"idx {dict(triplets.dtypes)[own]}, f array<double>")
+    rows = triplets.join(factors.withColumnRenamed("idx", other), other).select(F.col(own).alias("idx"), "f", "value", F.xxhash64(other).alias("h"))
+    schema = f"idx {dict(triplets.dtypes)[own]}, f array<double>"
+    if busy is None:
+        return rows.drop("h").repartition("idx").sortWithinPartitions("idx").mapInArrow(_normal(k, reg, False, True), schema)
+    rows = rows.join(busy, "idx", "left").withColumn("task", F.coalesce(F.pmod("h", F.col("tasks")), F.lit(0)))
+    sums = rows.repartition("idx", "task").sortWithinPartitions("idx").select("idx", "f", "value").mapInArrow(_normal(k, reg, False, False), schema)
+    return sums.repartition("idx").sortWithinPartitions("idx").mapInArrow(_normal(k, reg, True, True), schema)
 
 
 @dataclass
@@ -174,10 +219,10 @@ def fit_als(ratings: DataFrame, k: int = 8, reg: float = 0.1, iterations: int =
         triplets = ratings.where("rating > 0").select(user, item, F.col("rating").cast("double").alias("value"))
     triplets = space.write(triplets, "triplets")
     items = initial_factors(triplets.select(F.col(item).alias("idx")).distinct(), k, seed)
-    users = None
+    users, busy = None, {c: busy_rows(triplets, c, space) for c in (user, item)}
     for t in range(iterations):
-        users = space.write(als_half_step(triplets, user, item, items, k, reg), f"users{t}")
-        items = space.write(als_half_step(triplets, item, user, users, k, reg), f"items{t}")
+        users = space.write(als_half_step(triplets, user, item, items, k, reg, busy[user]), f"users{t}")
+        items = space.write(als_half_step(triplets, item, user, users, k, reg, busy[item]), f"items{t}")
         if t:
             space.drop(f"users{t - 1}")
             space.drop(f"items{t - 1}")
@@ -306,7 +351,8 @@ def svdpp_estimate(mu: float, bu: float, bi: float, p: np.ndarray, q: np.ndarray
 
 
 def fit_svdpp(
-    train: DataFrame, k: int = 8, rate: float = 0.01, reg: float = 0.02, epochs: int = 3, blocks: int = 4, seed: int = 42, user: str = "user_id", item: str = "item_id"
+    train: DataFrame, k: int = 8, rate: float = 0.01, reg: float = 0.02, epochs: int = 3, blocks: int = 4, seed: int = 42, user: str = "user_id", item: str = "item_id",
+    validation: DataFrame | None = None, patience: int = 3, min_delta: float = 1e-4,
 ) -> tuple[FactorModel, DataFrame]:
     """SVD++ with implicit histories of train: the model and (idx, y) factors.
 
@@ -314,7 +360,9 @@ def fit_svdpp(
     hold p plus the implicit term.  Users are hashed to ``blocks``; a block runs
     the sequential updates over its users on its own copy of the item side, and
     after each epoch the copies are averaged by their number of ratings (one
-    block is the exact sequential algorithm).
+    block is the exact sequential algorithm).  With ``validation``, training
+    stops after ``patience`` epochs without an RMSE lower by ``min_delta`` and
+    returns the best epoch.
     """
     space = Workspace(train.sparkSession, "svdpp")
     implicit = train.where("is_read OR is_reviewed OR rating > 0")
@@ -352,6 +400,17 @@ def fit_svdpp(
         return pd.concat([u, i], ignore_index=True)
 
     mean = lambda c: F.array(*(F.sum(F.col(c)[j] * F.col("w")) / F.sum("w") for j in range(k))).alias(c)
+    pairs = rows.select(F.col(user).alias("u"), F.col(item).alias("idx")).distinct()
+
+    def assembled(name: str) -> FactorModel:
+        """The model as it stands: each user's p plus the implicit term."""
+        sums = pairs.join(items.select("idx", "y"), "idx").groupBy("u").agg(*(F.sum(F.col("y")[j]).alias(f"y{j}") for j in range(k)), F.sqrt(F.count(F.lit(1))).alias("root"))
+        whole = users.join(sums, users["idx"] == sums["u"]).select("idx", F.array(*(F.col("f")[j] + F.col(f"y{j}") / F.col("root") for j in range(k))).alias("f"))
+        biases = (mu, users.select(F.col("idx").alias(user), F.col("b").alias("bu")), items.select(F.col("idx").alias(item), F.col("b").alias("bi")))
+        return FactorModel(space.write(whole, name), items.select("idx", "f"), biases, user=user, item=item)
+
+    held = validation.where("rating > 0").select(user, item, F.col("rating").cast("double").alias("value")) if validation is not None else None
+    best, best_loss, stale, losses = None, float("inf"), 0, []
     for epoch in range(epochs):
         part = rows.withColumn("h", F.xxhash64(user, item, F.lit(epoch), F.lit(seed)))
         null = F.lit(None).cast("array<double>")
@@ -363,8 +422,16 @@ def fit_svdpp(
         users = new.where("side = 0").select("idx", "task", "f", "b")
         w = new.where("side = 1").withColumn("w", F.col("n") + 1e-6)
         items = space.write(w.groupBy("idx").agg(mean("f"), (F.sum(F.col("b") * F.col("w")) / F.sum("w")).alias("b"), mean("y")), f"i{epoch}")
-    history = rows.select(F.col(user).alias("u"), F.col(item).alias("idx")).distinct().join(items.select("idx", "y"), "idx")
-    sums = history.groupBy("u").agg(*(F.sum(F.col("y")[j]).alias(f"y{j}") for j in range(k)), F.sqrt(F.count(F.lit(1))).alias("root"))
-    whole = users.join(sums, users["idx"] == sums["u"]).select("idx", F.array(*(F.col("f")[j] + F.col(f"y{j}") / F.col("root") for j in range(k))).alias("f"))
-    biases = (mu, users.select(F.col("idx").alias(user), F.col("b").alias("bu")), items.select(F.col("idx").alias(item), F.col("b").alias("bi")))
-    return FactorModel(space.write(whole, "whole"), items.select("idx", "f"), biases, user=user, item=item), items.select("idx", "y")
+        if held is None:
+            continue
+        model = assembled(f"whole{epoch}")
+        losses.append(observed_rmse(held, model))
+        if losses[-1] < best_loss - min_delta:
+            best, best_loss, stale = (model, items.select("idx", "y")), losses[-1], 0
+        else:
+            stale += 1
+            if stale >= patience:
+                break
+    model, y = best or (assembled("whole"), items.select("idx", "y"))
+    model.history = losses
+    return model, y

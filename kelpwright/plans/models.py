@@ -268,6 +268,27 @@ def x07(spark, d):
     return _errors(factor.fit_als(train, k=6, iterations=3), test)
 
 
+@query("x07_als_full")
+def x07_full(spark, d):
+    """Full size: 50 factors, 10 iterations."""
+    train, test = _triples(spark, d)
+    return _errors(factor.fit_als(train, k=50, iterations=10), test)
+
+
+_HALF = """q AS (SELECT item_idx AS item_id, CAST(min(factors) AS DOUBLE[]) AS v FROM item_factors WHERE factors IS NOT NULL AND NOT list_bool_or(list_transform(factors, lambda x: isnan(x))) GROUP BY 1),
+    s AS (SELECT user_id, sum(v[1] * v[1]) + 0.1 AS a, sum(v[1] * v[2]) AS b, sum(v[2] * v[2]) + 0.1 AS d, sum(v[1] * rating) AS x, sum(v[2] * rating) AS y FROM train JOIN q USING (item_id) GROUP BY 1)"""
+
+
+@query("x07_als_half_step", with_(RATINGS, _T01, _HALF) + "SELECT user_id, round((d * x - b * y) / (a * d - b * b), 6) AS f1, round((a * y - b * x) / (a * d - b * b), 6) AS f2 FROM s")
+def x07_half(spark, d):
+    """One half step on two given factors, which has a closed form."""
+    train, _ = _triples(spark, d)
+    q = table(spark, d, "item_factors").where(F.col("factors").isNotNull() & ~F.exists("factors", F.isnan)).groupBy(F.col("item_idx").alias("idx")).agg(F.min("factors").alias("f"))
+    q = q.select("idx", F.transform(F.slice("f", 1, 2), lambda x: x.cast("double")).alias("f"))
+    half = factor.als_half_step(train.select("user_id", "item_id", F.col("rating").cast("double").alias("value")), "user_id", "item_id", q, 2, 0.1)
+    return half.select(F.col("idx").alias("user_id"), F.round(F.col("f")[0], 6).alias("f1"), F.round(F.col("f")[1], 6).alias("f2"))
+
+
 @query("x08_bias_aware_als")
 def x08(spark, d):
     train, test = _triples(spark, d)

@@ -267,6 +267,23 @@ def test_factor_models_learn(spark):
     assert factor.observed_rmse(t, model) < spread
 
 
+def test_busy_rows_of_als_are_summed_in_several_tasks(spark, monkeypatch):
+    df = _ratings(spark)
+    whole = dict(rows(factor.fit_als(df, 3, 0.05, 2).users, "idx", "f"))
+    monkeypatch.setattr(factor, "SPLIT_RATINGS", 4)
+    cut = dict(rows(factor.fit_als(df, 3, 0.05, 2).users, "idx", "f"))
+    assert cut.keys() == whole.keys() and all(np.allclose(cut[u], whole[u]) for u in whole)
+
+
+def test_svdpp_stops_early_and_returns_the_best_epoch(spark):
+    df = _ratings(spark, seed=4)
+    model, y = factor.fit_svdpp(df, 2, 0.3, 0.0, 8, blocks=1, validation=df.where("user_id % 5 = 0").withColumn("rating", 6 - F.col("rating")), patience=2)
+    assert len(model.history) == model.history.index(min(model.history)) + 3 < 8 or len(model.history) == 8
+    again, _ = factor.fit_svdpp(df, 2, 0.3, 0.0, model.history.index(min(model.history)) + 1, blocks=1)
+    a, b = (dict(rows(m.users, "idx", "f")) for m in (model, again))
+    assert all(np.allclose(a[u], b[u]) for u in a)
+
+
 @pytest.mark.parametrize("biased", [False, True])
 def test_block_sgd_equals_one_sequential_pass(spark, biased):
     df = _ratings(spark, 12, 9, 3)
