@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kelpwright.storage import open_stream
+
 RATINGS = "user_id int, movie_id int, rating float, timestamp long"
 MOVIES = "movie_id int, title string, genres string"
 
@@ -35,41 +37,63 @@ def csv_with_row_number(spark: SparkSession, path: str, schema: str, request: st
     """CSV rows with ``request`` = file name:row number, rows counted from 0.
 
     Files are the unit of work, as a row's number depends on all before it; a
-    file is parsed in chunks and never held whole.
+    file is streamed in chunks and never held whole.
     """
     struct = spark.createDataFrame([], schema).schema
     out = T.StructType([T.StructField(request, T.StringType()), *struct.fields])
     names = [f.name for f in struct.fields]
 
     def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for file, content in zip(frame["path"], frame["content"], strict=True):
-                base, at = file.rsplit("/", 1)[-1], 0
-                for chunk in pd.read_csv(io.BytesIO(content), usecols=names, chunksize=50_000):
+        for file in (f for frame in frames for f in frame["path"]):
+            base, at = file.rsplit("/", 1)[-1], 0
+            with open_stream(file) as stream:
+                for chunk in pd.read_csv(stream, usecols=names, chunksize=50_000):
                     chunk.insert(0, request, [f"{base}:{at + k}" for k in range(len(chunk))])
                     at += len(chunk)
                     yield chunk[[request, *names]]
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(parse, out)
+    return _files(spark, path).mapInPandas(parse, out)
+
+
+class _Member(io.RawIOBase):
+    """A member of a streamed archive: read once, from start to end."""
+
+    def __init__(self, member: object) -> None:
+        self.member = member
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, buffer: bytearray) -> int:
+        part = self.member.read(len(buffer))
+        buffer[: len(part)] = part
+        return len(part)
 
 
 def csv_in_tar(spark: SparkSession, path: str, schema: str, member: str) -> DataFrame:
-    """Rows of the archive's CSV members whose name contains ``member``."""
+    """Rows of the archive's CSV members whose name contains ``member``.
+
+    An archive, plain or compressed, is streamed member by member.
+    """
     struct = spark.createDataFrame([], schema).schema
     names = [f.name for f in struct.fields]
     out = T.StructType([T.StructField("member", T.StringType()), *struct.fields])
 
     def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for content in frame["content"]:
-                with tarfile.open(fileobj=io.BytesIO(content)) as tar:
-                    for info in tar:
-                        if info.isfile() and member in info.name:
-                            for chunk in pd.read_csv(tar.extractfile(info), usecols=names, chunksize=50_000):
-                                chunk.insert(0, "member", info.name)
-                                yield chunk[["member", *names]]
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(parse, out)
+        for file in (f for frame in frames for f in frame["path"]):
+            with open_stream(file) as stream, tarfile.open(fileobj=stream, mode="r|*") as tar:
+                for info in tar:
+                    if info.isfile() and member in info.name:
+                        for chunk in pd.read_csv(io.BufferedReader(_Member(tar.extractfile(info))), usecols=names, chunksize=50_000):
+                            chunk.insert(0, "member", info.name)
+                            yield chunk[["member", *names]]
+
+    return _files(spark, path).mapInPandas(parse, out)
+
+
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    """The files' paths; their content is not read."""
+    return spark.read.format("binaryFile").load(path).select("path")
 
 
 def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kelpwright.storage import open_stream
+
 
 def write_parquet(df: DataFrame, path: str, row_group_rows: int = 32_768, partition_by: str | None = None) -> None:
     """Overwrites: a rebuild leaves no stale rows."""
@@ -31,10 +33,28 @@ def write_json(df: DataFrame, path: str) -> None:
 
 
 def checksums(spark: SparkSession, path: str) -> DataFrame:
-    """(file, bytes, sha256) of the data files below a folder, by relative path."""
+    """(file, bytes, sha256) of the data files below a folder, by relative path.
+
+    Files are streamed, so their size does not matter.
+    """
+    import hashlib
+
     inner = f"/{path.rstrip('/').rsplit('/', 1)[-1]}/"
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(path)
-    return rows.select(F.element_at(F.split("path", re.escape(inner), 2), -1).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+    def digest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            found = []
+            for file in frame["path"]:
+                with open_stream(file) as stream:
+                    sha = hashlib.sha256()
+                    while part := stream.read(1 << 20):
+                        sha.update(part)
+                found.append(sha.hexdigest())
+            yield frame.assign(sha256=found)
+
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(path).select("path", F.col("length").alias("bytes"))
+    rows = rows.mapInPandas(digest, "path string, bytes bigint, sha256 string")
+    return rows.select(F.element_at(F.split("path", re.escape(inner), 2), -1).alias("file"), "bytes", "sha256")
 
 
 def verify_bundle(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import tempfile
+import urllib.parse
 import uuid
 from collections.abc import Iterator
 
@@ -46,6 +47,20 @@ def table_bytes(table: DataFrame) -> int:
     return sum(f.getFileSystem(conf).getFileStatus(f).getLen() for f in files)
 
 
+@contextlib.contextmanager
+def open_stream(path: str) -> Iterator[object]:
+    """A file of any supported file system, read as it is asked for."""
+    from pyarrow.fs import FileSystem
+
+    if path.startswith("file:"):
+        with open("/" + path.removeprefix("file:").lstrip("/"), "rb") as stream:
+            yield stream
+        return
+    fs, inner = FileSystem.from_uri(urllib.parse.quote(path, safe=":/@"))
+    with fs.open_input_stream(inner) as stream:
+        yield stream
+
+
 @contextlib.contextmanager
 def shuffle_cleanup(spark: SparkSession) -> Iterator[None]:
     """Let each SQL execution inside drop its shuffle files when it ends.
