@@ -189,7 +189,7 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     "p10_found",
     """
     WITH g AS (
-      SELECT doc_id, p, hash(substr(text, p, 150)) AS s
+      SELECT doc_id, p, substr(text, p, 150) AS s
       FROM (SELECT doc_id, text, unnest(range(1, length(text) - 148)) AS p FROM documents WHERE length(text) >= 150)),
     several AS (SELECT s FROM g GROUP BY s HAVING min(doc_id) < max(doc_id)),
     hit AS (SELECT DISTINCT doc_id, p FROM g JOIN several USING (s))
