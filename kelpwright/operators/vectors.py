@@ -115,9 +115,8 @@ def exact_top_k(
         return space.write(usable, name, **{"parquet.block.row.count.limit": 8 * QUERY_BLOCK}).inputFiles()
 
     asked, held = written(queries, time, "asked"), written(rows, eligible, "rows")
-    paths = lambda files, name: spark.createDataFrame([(f,) for f in sorted(files)], f"{name} string")
     # Every part of the queries with every part of the rows: a list of names.
-    tasks = paths(asked, "asked").crossJoin(paths(held, "rows"))
+    tasks = spark.createDataFrame([(f, sorted(held)) for f in sorted(asked)], "asked string, rows array<string>").select("asked", F.explode("rows").alias("rows"))
     tasks = tasks.repartition(max(1, min(len(asked) * len(held), 4 * shuffle_width(spark))), "asked", "rows")
     met = tasks.mapInArrow(_scan(k, metric, exclude_self), f"query {kinds[key]}, neighbor {kinds[key]}, score double")
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "neighbor"))
