@@ -15,18 +15,16 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyarrow.dataset import dataset
-from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kelpwright.functions.scalars import dot
 from kelpwright.operators.baselines import fit_biases, predict_biases, top_per_user
-from kelpwright.session import shuffle_width
+from kelpwright.operators.catalog import CELL, catalog_lists
 from kelpwright.storage import Workspace
 
-#: Users scored at a time, and items of a batch.
-_USER_BLOCK, _ITEM_BLOCK = 512, 4096
+#: Items of a cell of the catalog.
+_ITEM_BLOCK = CELL
 
 
 def initial_factors(ids: DataFrame, k: int, seed: int, low: float = -0.17, high: float = 0.17) -> DataFrame:
@@ -142,9 +140,9 @@ class FactorModel:
         """The n best unseen items of the whole item side for each user.
 
         By the raw score rounded to 9 decimals, ties by id (integers); seen
-        items are excluded before the cut.  Each task scores blocks of users
-        against item batches that it reads from the shared folder, so neither
-        side is shuffled or held whole and no pairs are formed.
+        items are excluded before the cut.  Each task meets blocks of users with
+        the cells of items that can still enter their lists (operators/catalog.py);
+        no pairs are formed and no item is left out but by such a bound.
         """
         sides = []
         for own, key, other in ((self.users, self.user, self.item), (self.items, self.item, self.user)):
@@ -155,49 +153,9 @@ class FactorModel:
                 rows = rows.select(key, F.concat("v", F.array(*raw)).alias("v"))
             sides.append(rows)
         users, items = sides
-        files = Workspace(users.sparkSession, "catalog").write(items.withColumn(self.item, F.col(self.item).cast("long")), "items").inputFiles()
         known = seen.where(F.col(self.item).isNotNull()).groupBy(self.user).agg(F.collect_set(F.col(self.item).cast("long")).alias("seen"))
         asked = users.join(known, self.user, "left").select(self.user, "v", F.coalesce("seen", F.array().cast("array<bigint>")).alias("seen"))
-        asked = asked.repartition(4 * shuffle_width(users.sparkSession), self.user)
-        kinds = dict(users.dtypes) | dict(items.dtypes)
-        scored = asked.mapInArrow(_best_items(sorted(files), self.user, self.item, n), f"{self.user} {kinds[self.user]}, {self.item} bigint, score double")
-        return top_per_user(scored.withColumn(self.item, F.col(self.item).cast(kinds[self.item])), n, self.user, self.item, "score")
-
-
-def _best_items(files: list[str], user: str, item: str, n: int):
-    """(user, item, score): each user's n best unseen items of the item files."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs = FileSystem.from_uri(files[0])[0]
-        catalog = dataset([FileSystem.from_uri(f)[1] for f in files], format="parquet", filesystem=fs)
-        for batch in batches:
-            for at in range(0, batch.num_rows, _USER_BLOCK):
-                part = batch.slice(at, _USER_BLOCK)
-                p = np.array(part.column("v").to_pylist(), np.float64)
-                lists = part.column("seen")
-                held = lists.flatten().to_numpy(zero_copy_only=False)
-                of = np.repeat(np.arange(len(p)), np.diff(lists.offsets.to_numpy()))
-                row, near, score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-                for b in catalog.to_batches(columns=[item, "v"], batch_size=_ITEM_BLOCK, batch_readahead=1, fragment_readahead=1, use_threads=False):
-                    if not b.num_rows:
-                        continue
-                    ids, q = b.column(item).to_numpy(), np.array(b.column("v").to_pylist(), np.float64)
-                    order = np.argsort(ids)
-                    ids, q = ids[order], q[order]
-                    s = np.round(p @ q.T, 9)
-                    spot = np.minimum(np.searchsorted(ids, held), len(ids) - 1)
-                    hit = ids[spot] == held
-                    s[of[hit], spot[hit]] = -np.inf
-                    least = np.partition(s, max(0, len(ids) - n), axis=1)[:, max(0, len(ids) - n)]
-                    x, y = np.nonzero((s >= least[:, None]) & np.isfinite(s))
-                    row, near, score = np.concatenate([row, x]), np.concatenate([near, ids[y]]), np.concatenate([score, s[x, y]])
-                    order = np.lexsort((near, -score, row))
-                    row, near, score = row[order], near[order], score[order]
-                    best = np.arange(len(row)) - np.searchsorted(row, row) < n
-                    row, near, score = row[best], near[best], score[best]
-                yield pa.RecordBatch.from_arrays([part.column(user).take(pa.array(row)), pa.array(near), pa.array(score)], names=[user, item, "score"])
-
-    return run
+        return catalog_lists(asked, items, self.user, self.item, n, _ITEM_BLOCK).withColumn(self.item, F.col(self.item).cast(dict(items.dtypes)[self.item]))
 
 
 def observed_rmse(triplets: DataFrame, model: FactorModel) -> float:
