@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from kelpwright.functions.scalars import dot
 from kelpwright.operators.baselines import fit_biases, predict_biases, top_per_user
+from kelpwright.operators.blocks import als_in_blocks
 from kelpwright.operators.catalog import CELL, catalog_lists
 from kelpwright.storage import Workspace
 
@@ -166,8 +167,10 @@ def observed_rmse(triplets: DataFrame, model: FactorModel) -> float:
 def fit_als(ratings: DataFrame, k: int = 8, reg: float = 0.1, iterations: int = 5, seed: int = 42, biased: bool = False, user: str = "user_id", item: str = "item_id") -> FactorModel:
     """Explicit ALS; ``biased``: on the residuals of a fitted bias model.
 
-    Observed zero residuals stay in the design.  Factors are written each half
-    step, so lineage never grows.
+    Observed zero residuals stay in the design.  Half steps run on blocks whose
+    factors are mapped files (operators/blocks.py); if a row has more than
+    SPLIT_RATINGS ratings, factors are joined to the ratings instead and written
+    each half step, so that its sums are taken in several tasks.
     """
     space = Workspace(ratings.sparkSession, "als")
     biases = fit_biases(ratings, user=user, item=item) if biased else None
@@ -178,6 +181,10 @@ def fit_als(ratings: DataFrame, k: int = 8, reg: float = 0.1, iterations: int =
     triplets = space.write(triplets, "triplets")
     items = initial_factors(triplets.select(F.col(item).alias("idx")).distinct(), k, seed)
     users, busy = None, {c: busy_rows(triplets, c, space) for c in (user, item)}
+    if iterations and busy[user] is None and busy[item] is None:
+        users, items = als_in_blocks(triplets, user, item, lambda ids: initial_factors(ids, k, seed), k, reg, iterations, space)
+        space.drop("triplets")
+        return FactorModel(users, items, biases, user=user, item=item)
     for t in range(iterations):
         users = space.write(als_half_step(triplets, user, item, items, k, reg, busy[user]), f"users{t}")
         items = space.write(als_half_step(triplets, item, user, users, k, reg, busy[item]), f"items{t}")
