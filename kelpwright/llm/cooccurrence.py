@@ -207,12 +207,6 @@ def _basket_tables(space: Workspace, df: DataFrame, record: str, items: str) ->
     return base, space.write(base.select(F.explode("items").alias("item")).groupBy("item").agg(F.count(F.lit(1)).alias("n")), "counts")
 
 
-def counted_pairs(df: DataFrame, record: str, items: str, min_count: int = 1) -> DataFrame:
-    """item_a < item_b, n_ab, n_a, n_b, n of cooccurring_pairs, without the tests."""
-    base, counts = _basket_tables(Workspace(df.sparkSession, "pairs"), df, record, items)
-    return _counted(base, counts, min_count).withColumn("n", F.lit(base.count()).cast("long"))
-
-
 def cooccurring_pairs(df: DataFrame, record: str, items: str, min_count: int = 1, fdr: float = 0.01) -> DataFrame:
     """item_a < item_b, n_ab, n_a, n_b, n, lift, expected, log10_p, significant.
 
