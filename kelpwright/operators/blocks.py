@@ -44,6 +44,12 @@ def _looked_up(maps: dict[int, np.ndarray], block: np.ndarray, at: np.ndarray, k
     return out
 
 
+def _read(file: str, columns: list[str]) -> pa.Table:
+    fs, inner = FileSystem.from_uri(file)
+    with fs.open_input_file(inner) as source:
+        return pq.ParquetFile(source).read(columns)
+
+
 def _solved(folder: str, ratings: dict[int, str], factors: dict[int, str], own: str, other: str, k: int, reg: float):
     """(block, file) with the solutions of each block of the ``own`` side."""
 
@@ -53,9 +59,7 @@ def _solved(folder: str, ratings: dict[int, str], factors: dict[int, str], own:
                 if b not in ratings:
                     continue
                 maps = {o: open_arrays(f)["f"] for o, f in factors.items()}
-                fs, inner = FileSystem.from_uri(ratings[b])
-                with fs.open_input_file(inner) as source:
-                    t = pq.ParquetFile(source).read([f"{own}_at", f"{other}_block", f"{other}_at", "value"])
+                t = _read(ratings[b], [f"{own}_at", f"{other}_block", f"{other}_at", "value"])
                 row, block, at, value = (t[c].to_numpy() for c in t.column_names)
                 n = np.bincount(row)
                 start, f = np.concatenate([[0], np.cumsum(n)[:-1]]), np.zeros((len(n), k))
@@ -83,40 +87,48 @@ def _saved(folder: str):
     return run
 
 
-def _rows(files: dict[int, str]):
-    """(block, at, f) of the factor files."""
+def _rows(files: dict[int, str], named: dict[int, str]):
+    """(idx, f) of the factor files, whose rows stand as the ids do in their own files."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in batch.column("id").to_pylist():
-                f = open_arrays(files[b])["f"] if b in files else np.zeros((0, 1))
+                if b not in files:
+                    continue
+                f, ids = open_arrays(files[b])["f"], _read(named[b], ["idx"])["idx"].combine_chunks()
                 for x in range(0, len(f), 10_000):
                     part = f[x : x + 10_000]
                     flat = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1, dtype=np.int32) * part.shape[1]), pa.array(part.ravel()))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), b, np.int32)), pa.array(np.arange(x, x + len(part), dtype=np.int32)), flat], names=["block", "at", "f"])
+                    yield pa.RecordBatch.from_arrays([ids[x : x + 10_000], flat], names=["idx", "f"])
 
     return run
 
 
+def _files(laid: DataFrame, block: str) -> dict[int, str]:
+    """The file of each block of a table that was laid out by ``block``."""
+    return {r["b"]: r["f"] for r in laid.select(F.col(block).alias("b"), F.input_file_name().alias("f")).distinct().collect()}
+
+
 def als_in_blocks(triplets: DataFrame, user: str, item: str, start, k: int, reg: float, iterations: int, space: Workspace) -> tuple[DataFrame, DataFrame]:
     """(idx, f) of users and of items after ``iterations`` rounds.
 
     ``triplets``: (user, item, value), written; ``start`` gives ids their first
     item factors.  No row should have more ratings than a task can hold factors of.
     """
-    spark = triplets.sparkSession
+    spark, triplets = triplets.sparkSession, triplets.where(F.col(user).isNotNull() & F.col(item).isNotNull())  # each id has a rating
     blocks = max(shuffle_width(spark), -(-triplets.count() // BLOCK_RATINGS))
-    tasks, ids, placed = spark.range(0, blocks, 1, blocks), {}, triplets
+    tasks, ids, named, placed = spark.range(0, blocks, 1, blocks), {}, {}, triplets
     for c in (user, item):
-        own = triplets.select(F.col(c).alias("idx")).where("idx IS NOT NULL").distinct().withColumn("block", F.pmod(F.xxhash64("idx"), F.lit(blocks)).cast("int"))
+        own = triplets.select(F.col(c).alias("idx")).distinct().withColumn("block", F.pmod(F.xxhash64("idx"), F.lit(blocks)).cast("int"))
         at = (F.row_number().over(Window.partitionBy("block").orderBy("idx")) - 1).cast("int")
-        ids[c] = space.write(own.withColumn("at", at), f"ids_{c}")
+        ids[c] = space.write(own.withColumn("at", at).repartitionById(blocks, F.col("block")).sortWithinPartitions("block", "at"), f"ids_{c}")
+        named[c] = _files(ids[c], "block")
         placed = placed.join(ids[c].select(F.col("idx").alias(c), F.col("block").alias(f"{c}_block"), F.col("at").alias(f"{c}_at")), c)
     placed = space.write(placed.drop(user, item), "placed")
     ratings: dict[str, dict[int, str]] = {}
     for c in (user, item):
         laid = space.write(placed.repartitionById(blocks, F.col(f"{c}_block")).sortWithinPartitions(f"{c}_block", f"{c}_at"), f"by_{c}")
-        ratings[c] = {r["b"]: r["f"] for r in laid.select(F.col(f"{c}_block").alias("b"), F.input_file_name().alias("f")).distinct().collect()}
+        ratings[c] = _files(laid, f"{c}_block")
     space.drop("placed")
     first = start(ids[item]).repartitionById(blocks, F.col("block")).sortWithinPartitions("block", "at").select("block", "f")
     files = {item: {r["block"]: r["file"] for r in first.mapInArrow(_saved(space.path("start")), _FILES).collect()}}
@@ -129,7 +141,8 @@ def als_in_blocks(triplets: DataFrame, user: str, item: str, start, k: int, reg:
             space.drop(f"{item}{t - 1}")
     space.drop(f"by_{user}")
     space.drop(f"by_{item}")
-    found = (tasks.mapInArrow(_rows(files[c]), "block int, at int, f array<double>").join(ids[c], ["block", "at"]).select("idx", "f") for c in (user, item))
+    # Without a join: Spark takes what tasks map from a few block numbers for small and would broadcast the factors.
+    found = (tasks.mapInArrow(_rows(files[c], named[c]), f"idx {dict(triplets.dtypes)[c]}, f array<double>") for c in (user, item))
     users, items = (space.write(f, name) for f, name in zip(found, ("users", "items"), strict=True))
     space.drop(f"{user}{iterations - 1}")
     space.drop(f"{item}{iterations - 1}")

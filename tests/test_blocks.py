@@ -1,6 +1,7 @@
 import numpy as np
 
 from kelpwright.operators import blocks, factor
+from kelpwright.storage import Workspace
 
 
 def test_half_steps_look_factors_up_instead_of_joining_them(spark, monkeypatch):
@@ -24,3 +25,27 @@ def test_half_steps_look_factors_up_instead_of_joining_them(spark, monkeypatch):
     for df, want in ((model.users, sides[0]), (model.items, sides[1])):
         got = {r.idx: r.f for r in df.collect()}
         assert got.keys() == want.keys() and all(np.allclose(got[x], want[x]) for x in want)
+
+
+def test_factors_reach_the_model_without_a_join_or_a_broadcast(spark, monkeypatch):
+    plans, write = {}, Workspace.write
+
+    def kept(space, df, name, **options):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return write(space, df, name, **options)
+
+    monkeypatch.setattr(Workspace, "write", kept)
+    df = spark.range(20_000).selectExpr("id % 4000 AS user_id", "concat('i', id * 7 % 3000) AS item_id", "1D + id % 5 AS rating")
+    model = factor.fit_als(df, k=50, iterations=1)
+    assert not any("Join" in plans[name] or "Broadcast" in plans[name] for name in ("users", "items"))
+    assert model.users.count() == 4000 and {r.idx for r in model.items.select("idx").collect()} == {f"i{n}" for n in range(3000)}
+
+
+def test_a_row_whose_ratings_all_lack_the_other_side_has_no_factors(spark):
+    df = spark.createDataFrame([(0, None, 3.0), (1, 5, 4.0), (1, 6, 2.0), (2, 6, 5.0), (None, 4, 1.0)], "user_id int, item_id long, rating double").coalesce(1)
+    spark.conf.set("spark.sql.shuffle.partitions", 1)  # one block, so that these rows come first in theirs
+    try:
+        model = factor.fit_als(df, k=3, iterations=2)
+        assert ({r.idx for r in model.users.collect()}, {r.idx for r in model.items.collect()}) == ({1, 2}, {5, 6})
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
