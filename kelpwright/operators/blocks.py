@@ -9,9 +9,11 @@ to a rating but those of the rows being solved.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.parquet as pq
 from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, Window
@@ -109,8 +111,42 @@ def _files(laid: DataFrame, block: str) -> dict[int, str]:
     return {r["b"]: r["f"] for r in laid.select(F.col(block).alias("b"), F.input_file_name().alias("f")).distinct().collect()}
 
 
-def als_in_blocks(triplets: DataFrame, user: str, item: str, start, k: int, reg: float, iterations: int, space: Workspace) -> tuple[DataFrame, DataFrame]:
-    """(idx, f) of users and of items after ``iterations`` rounds.
+@dataclass
+class Placed:
+    """Where factors are: by side, (idx, block, at) and the file of each block."""
+
+    ids: dict[str, DataFrame]
+    files: dict[str, dict[int, str]]
+    k: int
+
+    def predict(self, pairs: DataFrame, output: str) -> DataFrame:
+        """``pairs`` with the product of their factors, 0 where a side is unknown.
+
+        Only places are joined to the pairs; factors are looked up a batch at a time.
+        """
+        rows, sides = pairs, list(self.ids)
+        for n, c in enumerate(sides):
+            rows = rows.join(self.ids[c].select(F.col("idx").alias(c), F.col("block").alias(f"__block{n}"), F.col("at").alias(f"__at{n}")), c, "left")
+        kept = rows.drop(*(f"__{x}{n}" for x in ("block", "at") for n in (0, 1)), output)
+        files, k, names = [self.files[c] for c in sides], self.k, [*kept.columns, output]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            maps = None
+            for batch in batches:
+                if maps is None:
+                    maps = [{b: open_arrays(f)["f"] for b, f in own.items()} for own in files]
+                block, at = ([pc.fill_null(batch.column(f"__{x}{n}"), -1).to_numpy() for n in (0, 1)] for x in ("block", "at"))
+                known, out = np.flatnonzero((block[0] >= 0) & (block[1] >= 0)), np.zeros(batch.num_rows)
+                if len(known):
+                    p, q = (_looked_up(maps[n], block[n][known], at[n][known], k) for n in (0, 1))
+                    out[known] = np.einsum("ij,ij->i", p, q)
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(names) - 1], pa.array(out)], names=names)
+
+        return rows.select(*kept.columns, "__block0", "__at0", "__block1", "__at1").mapInArrow(run, kept.withColumn(output, F.lit(0.0)).schema)
+
+
+def als_in_blocks(triplets: DataFrame, user: str, item: str, start, k: int, reg: float, iterations: int, space: Workspace) -> tuple[DataFrame, DataFrame, Placed]:
+    """(idx, f) of users and of items after ``iterations`` rounds, and their places.
 
     ``triplets``: (user, item, value), written; ``start`` gives ids their first
     item factors.  No row should have more ratings than a task can hold factors of.
@@ -131,19 +167,15 @@ def als_in_blocks(triplets: DataFrame, user: str, item: str, start, k: int, reg:
         ratings[c] = _files(laid, f"{c}_block")
     space.drop("placed")
     first = start(ids[item]).repartitionById(blocks, F.col("block")).sortWithinPartitions("block", "at").select("block", "f")
-    files = {item: {r["block"]: r["file"] for r in first.mapInArrow(_saved(space.path("start")), _FILES).collect()}}
+    files = {item: {r["block"]: r["file"] for r in first.mapInArrow(_saved(space.path(f"{item}-1")), _FILES).collect()}}
     for t in range(iterations):
         for c, o in ((user, item), (item, user)):
+            space.drop(f"{c}{t - 1}")  # its own last ones are not read
             run = _solved(space.path(f"{c}{t}"), ratings[c], files[o], c, o, k, reg)
             files[c] = {r["block"]: r["file"] for r in tasks.mapInArrow(run, _FILES).collect()}
-        if t:
-            space.drop(f"{user}{t - 1}")
-            space.drop(f"{item}{t - 1}")
     space.drop(f"by_{user}")
     space.drop(f"by_{item}")
     # Without a join: Spark takes what tasks map from a few block numbers for small and would broadcast the factors.
     found = (tasks.mapInArrow(_rows(files[c], named[c]), f"idx {dict(triplets.dtypes)[c]}, f array<double>") for c in (user, item))
     users, items = (space.write(f, name) for f, name in zip(found, ("users", "items"), strict=True))
-    space.drop(f"{user}{iterations - 1}")
-    space.drop(f"{item}{iterations - 1}")
-    return users, items
+    return users, items, Placed(ids, files, k)

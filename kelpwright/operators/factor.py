@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from kelpwright.functions.scalars import dot
 from kelpwright.operators.baselines import fit_biases, predict_biases, top_per_user
-from kelpwright.operators.blocks import als_in_blocks
+from kelpwright.operators.blocks import Placed, als_in_blocks
 from kelpwright.operators.catalog import CELL, catalog_lists
 from kelpwright.storage import Workspace
 
@@ -120,13 +120,17 @@ class FactorModel:
     history: list[float] = field(default_factory=list)
     user: str = "user_id"
     item: str = "item_id"
+    placed: Placed | None = None
 
     def predict(self, pairs: DataFrame, output: str = "prediction") -> DataFrame:
         """``pairs`` with the raw estimate; an unknown side adds nothing."""
-        u = self.users.select(F.col("idx").alias(self.user), F.col("f").alias("__p"))
-        i = self.items.select(F.col("idx").alias(self.item), F.col("f").alias("__q"))
-        rows = pairs.join(u, self.user, "left").join(i, self.item, "left")
-        rows = rows.withColumn(output, F.coalesce(dot("__p", "__q"), F.lit(0.0))).drop("__p", "__q")
+        if self.placed is not None:
+            rows = self.placed.predict(pairs, output)
+        else:
+            u = self.users.select(F.col("idx").alias(self.user), F.col("f").alias("__p"))
+            i = self.items.select(F.col("idx").alias(self.item), F.col("f").alias("__q"))
+            rows = pairs.join(u, self.user, "left").join(i, self.item, "left")
+            rows = rows.withColumn(output, F.coalesce(dot("__p", "__q"), F.lit(0.0))).drop("__p", "__q")
         if self.biases is not None:
             rows = predict_biases(rows, self.biases, self.user, self.item).withColumn(output, F.col(output) + F.col("raw")).drop("raw")
         return rows
@@ -182,9 +186,9 @@ def fit_als(ratings: DataFrame, k: int = 8, reg: float = 0.1, iterations: int =
     items = initial_factors(triplets.select(F.col(item).alias("idx")).distinct(), k, seed)
     users, busy = None, {c: busy_rows(triplets, c, space) for c in (user, item)}
     if iterations and busy[user] is None and busy[item] is None:
-        users, items = als_in_blocks(triplets, user, item, lambda ids: initial_factors(ids, k, seed), k, reg, iterations, space)
+        users, items, placed = als_in_blocks(triplets, user, item, lambda ids: initial_factors(ids, k, seed), k, reg, iterations, space)
         space.drop("triplets")
-        return FactorModel(users, items, biases, user=user, item=item)
+        return FactorModel(users, items, biases, user=user, item=item, placed=placed)
     for t in range(iterations):
         users = space.write(als_half_step(triplets, user, item, items, k, reg, busy[user]), f"users{t}")
         items = space.write(als_half_step(triplets, item, user, users, k, reg, busy[item]), f"items{t}")

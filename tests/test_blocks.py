@@ -49,3 +49,17 @@ def test_a_row_whose_ratings_all_lack_the_other_side_has_no_factors(spark):
         assert ({r.idx for r in model.users.collect()}, {r.idx for r in model.items.collect()}) == ({1, 2}, {5, 6})
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", 4)
+
+
+def test_predictions_look_factors_up_as_the_joined_ones_do(spark):
+    df = spark.range(3000).selectExpr("id % 90 AS user_id", "concat('i', id * 7 % 80) AS item_id", "1D + id % 5 AS rating")
+    model = factor.fit_als(df, k=4, iterations=2, biased=True)
+    pairs = spark.createDataFrame([(n, u, i) for n, (u, i) in enumerate([(u, f"i{i}") for u in (0, 5, 95) for i in (3, 79, 80)] + [(None, "i3"), (5, None), (None, None)])], "n int, user_id long, item_id string")
+    got = model.predict(pairs.repartition(2))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and " f#" not in plan  # no factor is joined
+    model.placed = None
+    joined = model.predict(pairs)
+    assert got.dtypes == joined.dtypes
+    want = {r.n: r.prediction for r in joined.collect()}
+    assert len(want) == 12 and {r.n: round(r.prediction, 9) for r in got.collect()} == {n: round(x, 9) for n, x in want.items()}
