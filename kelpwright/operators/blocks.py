@@ -126,7 +126,7 @@ class Placed:
         """
         rows, sides = pairs, list(self.ids)
         for n, c in enumerate(sides):
-            rows = rows.join(self.ids[c].select(F.col("idx").alias(c), F.col("block").alias(f"__block{n}"), F.col("at").alias(f"__at{n}")), c, "left")
+            rows = rows.join(self.ids[c].select(F.col("idx").alias(c), F.col("block").alias(f"__block{n}"), F.col("at").alias(f"__at{n}")).hint("merge"), c, "left")
         kept = rows.drop(*(f"__{x}{n}" for x in ("block", "at") for n in (0, 1)), output)
         files, k, names = [self.files[c] for c in sides], self.k, [*kept.columns, output]
 
@@ -150,6 +150,7 @@ def als_in_blocks(triplets: DataFrame, user: str, item: str, start, k: int, reg:
 
     ``triplets``: (user, item, value), written; ``start`` gives ids their first
     item factors.  No row should have more ratings than a task can hold factors of.
+    Ids are joined by merging, as a broadcast of those of a side fills the driver.
     """
     spark, triplets = triplets.sparkSession, triplets.where(F.col(user).isNotNull() & F.col(item).isNotNull())  # each id has a rating
     blocks = max(shuffle_width(spark), -(-triplets.count() // BLOCK_RATINGS))
@@ -159,7 +160,7 @@ def als_in_blocks(triplets: DataFrame, user: str, item: str, start, k: int, reg:
         at = (F.row_number().over(Window.partitionBy("block").orderBy("idx")) - 1).cast("int")
         ids[c] = space.write(own.withColumn("at", at).repartitionById(blocks, F.col("block")).sortWithinPartitions("block", "at"), f"ids_{c}")
         named[c] = _files(ids[c], "block")
-        placed = placed.join(ids[c].select(F.col("idx").alias(c), F.col("block").alias(f"{c}_block"), F.col("at").alias(f"{c}_at")), c)
+        placed = placed.join(ids[c].select(F.col("idx").alias(c), F.col("block").alias(f"{c}_block"), F.col("at").alias(f"{c}_at")).hint("merge"), c)
     placed = space.write(placed.drop(user, item), "placed")
     ratings: dict[str, dict[int, str]] = {}
     for c in (user, item):

@@ -38,6 +38,8 @@ def test_factors_reach_the_model_without_a_join_or_a_broadcast(spark, monkeypatc
     df = spark.range(20_000).selectExpr("id % 4000 AS user_id", "concat('i', id * 7 % 3000) AS item_id", "1D + id % 5 AS rating")
     model = factor.fit_als(df, k=50, iterations=1)
     assert not any("Join" in plans[name] or "Broadcast" in plans[name] for name in ("users", "items"))
+    plans["predicted"] = model.predict(df)._jdf.queryExecution().executedPlan().toString()
+    assert not any("Broadcast" in plans[name] for name in ("placed", "predicted"))
     assert model.users.count() == 4000 and {r.idx for r in model.items.select("idx").collect()} == {f"i{n}" for n in range(3000)}
 
 
